@@ -31,7 +31,7 @@ def plan_bytes(df: DataFrame) -> int:
     Asked of the optimised plan, so it works for any store that Spark reads and
     starts no job.
     """
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def chunk_count(df: DataFrame, bytes_each: int, least: int = 8) -> int:
