@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cueforge.llm.bpe import bpe_decode, bpe_encode
 from cueforge.llm.common import read_table
+from cueforge.llm.lm import lm_scores
 from cueforge.llm.substring import remove_repeats
 from cueforge.llm.token_count import token_counts
 
@@ -23,6 +24,10 @@ def op2_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(read_table(spark, sf_dir, "documents"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = remove_repeats(read_table(spark, sf_dir, "documents"))
     return left.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
@@ -36,6 +41,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_bpe_encode_decode": op2_bpe_encode_decode,
+        "op3_lm_scores": op3_lm_scores,
         "op7_substring_dedup": op7_substring_dedup,
         "op10_token_counts": op10_token_counts,
     }
