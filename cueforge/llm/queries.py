@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cueforge.llm.bpe import bpe_decode, bpe_encode
 from cueforge.llm.common import read_table
 from cueforge.llm.lm import lm_scores
+from cueforge.llm.minhash import near_duplicates
 from cueforge.llm.substring import remove_repeats
 from cueforge.llm.token_count import token_counts
 
@@ -28,6 +29,10 @@ def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(read_table(spark, sf_dir, "documents"))
 
 
+def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = remove_repeats(read_table(spark, sf_dir, "documents"))
     return left.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
@@ -42,6 +47,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_bpe_encode_decode": op2_bpe_encode_decode,
         "op3_lm_scores": op3_lm_scores,
+        "op4_minhash_dedup": op4_minhash_dedup,
         "op7_substring_dedup": op7_substring_dedup,
         "op10_token_counts": op10_token_counts,
     }
