@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Chunks that a worker remembers before it starts afresh.
-CACHE_LIMIT = 800_000
+CACHE_LIMIT = 400_000
 #: Code points that are pre-tokenised at a time.
 PIECE_CHARS = 1 << 20
 #: Cells of a batch of trees.
-TREE_CELLS = 1 << 20
+TREE_CELLS = 1 << 18
 
 _NONE = np.iinfo(np.int64).max
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -293,25 +293,30 @@ def slices(column: pa.Array, most: int = PIECE_CHARS) -> Iterator[list[str]]:
         yield held
 
 
-def bpe_encode(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def bpe_encode(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", decoded_col: str | None = None) -> DataFrame:
     """Encode every whole text: (id, n_tokens long, ids binary of little-endian unsigned 32-bit ids).
 
-    A narrow map, one row out for each row in: null and empty texts give no
-    ids; repeated rows are encoded each; ids may be null; other columns of df
-    are not read. tokenizer is the path of a byte-level vocabulary file that
-    every executor can open.
+    With decoded_col, the ids are decoded again in the same worker into that
+    further string column. A narrow map, one row out for each row in: null and
+    empty texts give no ids; repeated rows are encoded each; ids may be null;
+    other columns of df are not read. tokenizer is the path of a byte-level
+    vocabulary file that every executor can open.
     """
     kind = df.schema[id_col].dataType
+    names = [id_col, "n_tokens", "ids", *([decoded_col] if decoded_col else [])]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = byte_level(tokenizer)
         for batch in batches:
-            ids: list[bytes] = []
+            done = 0
             for texts in slices(batch.column(1)):
-                ids += model.encode_all(texts)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=[id_col, "n_tokens", "ids"])
+                ids = model.encode_all(texts)
+                columns = [batch.column(0).slice(done, len(texts)), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*columns, *([pa.array(map(model.decode, ids), pa.string())] if decoded_col else [])], names=names)
+                done += len(texts)
 
-    return df.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(encode, f"`{id_col}` {kind.simpleString()}, n_tokens long, ids binary")
+    schema = f"`{id_col}` {kind.simpleString()}, n_tokens long, ids binary" + (f", `{decoded_col}` string" if decoded_col else "")
+    return df.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(encode, schema)
 
 
 def bpe_decode(df: DataFrame, tokenizer: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:

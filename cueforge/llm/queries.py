@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueforge.llm.bpe import bpe_decode, bpe_encode
+from cueforge.llm.bpe import bpe_encode
 from cueforge.llm.common import read_table
 from cueforge.llm.lm import lm_scores
 from cueforge.llm.minhash import near_duplicates
@@ -21,7 +21,7 @@ TOKEN_LIMIT = 2048
 
 def op2_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
-    coded = bpe_decode(bpe_encode(read_table(spark, sf_dir, "documents"), path), path)
+    coded = bpe_encode(read_table(spark, sf_dir, "documents"), path, decoded_col="decoded")
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
