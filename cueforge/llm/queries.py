@@ -12,6 +12,8 @@ from cueforge.llm.bpe import bpe_encode
 from cueforge.llm.common import read_table
 from cueforge.llm.lm import lm_scores
 from cueforge.llm.minhash import near_duplicates
+from cueforge.llm.quality import ORACLE as QUALITY_SQL
+from cueforge.llm.quality import quality_rules
 from cueforge.llm.substring import remove_repeats
 from cueforge.llm.token_count import token_counts
 
@@ -33,6 +35,10 @@ def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(read_table(spark, sf_dir, "documents"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = remove_repeats(read_table(spark, sf_dir, "documents"))
     return left.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
@@ -48,10 +54,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_bpe_encode_decode": op2_bpe_encode_decode,
         "op3_lm_scores": op3_lm_scores,
         "op4_minhash_dedup": op4_minhash_dedup,
+        "op5_quality_rules": op5_quality_rules,
         "op7_substring_dedup": op7_substring_dedup,
         "op10_token_counts": op10_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_quality_rules": QUALITY_SQL}
