@@ -14,6 +14,7 @@ from cueforge.llm.lm import lm_scores
 from cueforge.llm.minhash import near_duplicates
 from cueforge.llm.quality import ORACLE as QUALITY_SQL
 from cueforge.llm.quality import quality_rules
+from cueforge.llm.secret_scan import secret_scan
 from cueforge.llm.substring import remove_repeats
 from cueforge.llm.token_count import token_counts
 
@@ -39,6 +40,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read_table(spark, sf_dir, "documents"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = secret_scan(read_table(spark, sf_dir, "documents"))
+    values = F.transform("findings", lambda c: c.getField("value"))
+    return scanned.select("doc_id", F.coalesce(F.size("candidates"), F.lit(0)).alias("n_candidates"), F.size("findings").alias("n_findings"), F.array_join(values, " ").alias("secrets"), F.sha2(F.encode("redacted", "UTF-8"), 256).alias("redacted_sha256"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = remove_repeats(read_table(spark, sf_dir, "documents"))
     return left.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
@@ -55,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_lm_scores": op3_lm_scores,
         "op4_minhash_dedup": op4_minhash_dedup,
         "op5_quality_rules": op5_quality_rules,
+        "op6_secret_scan": op6_secret_scan,
         "op7_substring_dedup": op7_substring_dedup,
         "op10_token_counts": op10_token_counts,
     }
