@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cueforge.llm.bpe import bpe_encode
 from cueforge.llm.common import read_table
+from cueforge.llm.embed_dedup import embedding_duplicates
 from cueforge.llm.lm import lm_scores
 from cueforge.llm.minhash import near_duplicates
 from cueforge.llm.quality import ORACLE as QUALITY_SQL
@@ -51,6 +52,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
@@ -64,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality_rules": op5_quality_rules,
         "op6_secret_scan": op6_secret_scan,
         "op7_substring_dedup": op7_substring_dedup,
+        "op8_embedding_dedup": op8_embedding_dedup,
         "op10_token_counts": op10_token_counts,
     }
 
