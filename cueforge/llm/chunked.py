@@ -21,9 +21,7 @@ from pyspark.sql import functions as F
 from cueforge.llm.common import chunk_count, chunk_of
 
 #: Input bytes (as stored) of a chunk of documents.
-CHUNK_BYTES = 3 << 20
-#: Chunks dealt to one partition, on average.
-CHUNKS_EACH = 4
+CHUNK_BYTES = 12 << 20
 #: Rows that a partition holds back before it packs them.
 PACK_BYTES = 64 << 20
 
@@ -54,14 +52,13 @@ class Chunks:
     def __init__(self, df: DataFrame, id_col: str, text_col: str, more: dict | None = None, chunk_bytes: int = CHUNK_BYTES) -> None:
         """more: further columns (name: expression) that docs carry beside id and text."""
         own = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        self.partitions = max(own, chunk_count(df.select(id_col, text_col), chunk_bytes * CHUNKS_EACH))
-        self.count = self.partitions * CHUNKS_EACH
-        #: Buckets of keys; as many as chunks would do, fewer keep their pieces from getting tiny.
-        self.buckets = Buckets(self.partitions)
+        self.count = max(own, chunk_count(df.select(id_col, text_col), chunk_bytes))
+        #: As many buckets of keys as chunks: a piece for each pair of them.
+        self.buckets = Buckets(self.count)
         more = more or {}
         rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *(e.alias(k) for k, e in more.items()))
-        n_chunks = self.count
-        rows = rows.select(chunk_of(n_chunks, "id", "text").alias("chunk"), *rows.columns)
+        number = F.get(F.lit(spread_keys(self.count)), chunk_of(self.count, "id", "text"))
+        rows = rows.select(number.alias("chunk"), *rows.columns)
 
         def deal(batches):
             held, size = [], 0
@@ -74,15 +71,53 @@ class Chunks:
             if held:
                 yield from _packed(held)
 
-        self.frame = rows.mapInArrow(deal, "chunk int, docs binary").repartition(self.partitions, "chunk")
+        self.frame = self.dealt(rows.mapInArrow(deal, "chunk int, docs binary"), "chunk")
         self.groups = self.frame.groupBy("chunk")
 
+    def dealt(self, rows: DataFrame, key: str) -> DataFrame:
+        """rows, each of its chunk or bucket in a partition of its own."""
+        return rows.repartition(self.count, key)
+
+    def numbers(self) -> DataFrame:
+        """All numbers of chunks, as (chunk int)."""
+        return self.frame.sparkSession.range(1).select(F.explode(F.lit(spread_keys(self.count))).alias("chunk"))
+
+
+def spread_keys(n: int) -> list[int]:
+    """n integers that Spark's hash partitioning deals to n partitions, one to each.
+
+    Plain numbers would leave a third of the partitions empty and give others
+    several. The hash is the public 32-bit Murmur3 with seed 42.
+    """
+    found = np.full(n, -1, np.int64)
+    for start in range(0, 1 << 31, 4 * n + 64):
+        x = np.arange(start, start + 4 * n + 64, dtype=np.uint64)
+        rotl = lambda v, r: ((v << np.uint64(r)) | (v >> np.uint64(32 - r))) & _LOW
+        times = lambda v, k: (v * np.uint64(k)) & _LOW
+        h = np.uint64(42) ^ times(rotl(times(x, 0xCC9E2D51), 15), 0x1B873593)
+        h = ((rotl(h, 13) * np.uint64(5) + np.uint64(0xE6546B64)) & _LOW) ^ np.uint64(4)
+        h = times(h ^ (h >> np.uint64(16)), 0x85EBCA6B)
+        h = times(h ^ (h >> np.uint64(13)), 0xC2B2AE35)
+        slot = (h ^ (h >> np.uint64(16))).astype(np.uint32).view(np.int32).astype(np.int64) % n
+        first = np.unique(slot, return_index=True)
+        new = found[first[0]] < 0
+        found[first[0][new]] = x[first[1][new]].astype(np.int64)
+        if (found >= 0).all():
+            break
+    return found.tolist()
+
+
+_LOW = np.uint64(0xFFFFFFFF)
+
 
 class Buckets:
     """Where ascending 64-bit hashes fall when dealt to a number of buckets by their high bits."""
 
     def __init__(self, count: int) -> None:
         self.count = count
+        #: The number that a row of each bucket bears.
+        self.keys = spread_keys(count)
+        self.place = {key: b for b, key in enumerate(self.keys)}
 
     def cuts(self, hashes: np.ndarray) -> np.ndarray:
         """For ascending hashes, the bounds of each bucket's part: count + 1 places."""

@@ -69,7 +69,7 @@ def _pieces(buckets, chunk: int, keys: np.ndarray, **columns: np.ndarray) -> pa.
     cut = buckets.cuts(keys).tolist()
     rows = [(b, i, j) for b, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if j > i]
     return pa.table(
-        {"bucket": pa.array([b for b, _, _ in rows], pa.int32()), "chunk": pa.array([chunk] * len(rows), pa.int32()), "keys": pa.array([pack_sorted(keys[i:j]) for _, i, j in rows], pa.binary())}
+        {"bucket": pa.array([buckets.keys[b] for b, _, _ in rows], pa.int32()), "chunk": pa.array([chunk] * len(rows), pa.int32()), "keys": pa.array([pack_sorted(keys[i:j]) for _, i, j in rows], pa.binary())}
         | {name: pa.array([pack(v[i:j]) for _, i, j in rows], pa.binary()) for name, v in columns.items()}
     )
 
@@ -83,8 +83,9 @@ def _gathered(table: pa.Table, **kinds: type) -> tuple:
 def _answers(rows: pa.Table, name: str, buckets, keys: np.ndarray, kind: type) -> np.ndarray:
     """The answers for ascending keys, in their order."""
     cut, out = buckets.cuts(keys), np.zeros(len(keys), kind)
-    for b, x in zip(rows.column("bucket").to_pylist(), rows.column(name), strict=True):
+    for key, x in zip(rows.column("bucket").to_pylist(), rows.column(name), strict=True):
         if x.is_valid:
+            b = buckets.place[key]
             out[cut[b] : cut[b + 1]] = unpack(x.as_py(), kind)
     return out
 
@@ -101,7 +102,7 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hel
     """
     kind = df.schema[id_col].dataType.simpleString()
     chunks = Chunks(df, id_col, text_col, {"held": held_out(id_col) if held is None else F.coalesce(held, F.lit(False))})
-    buckets, parts = chunks.buckets, chunks.partitions
+    buckets = chunks.buckets
 
     def ask_pairs(key: tuple, table: pa.Table) -> pa.Table:
         read = _Reading(documents(table))
@@ -175,12 +176,12 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hel
         )
 
     asked = chunks.groups.applyInArrow(ask_pairs, "bucket int, chunk int, keys binary, count binary")
-    pairs = asked.repartition(parts, "bucket").groupBy("bucket").applyInArrow(count_pairs, "chunk int, bucket int, pairs binary")
+    pairs = chunks.dealt(asked, "bucket").groupBy("bucket").applyInArrow(count_pairs, "chunk int, bucket int, pairs binary")
     words = chunks.groups.cogroup(pairs.groupBy("chunk")).applyInArrow(ask_words, "bucket int, chunk int, keys binary, count binary, uses binary, after binary")
-    counted = words.repartition(parts, "bucket").groupBy("bucket").applyInArrow(count_words, "chunk int, bucket int, count binary, uses binary, after binary, tokens long, types long")
+    counted = chunks.dealt(words, "bucket").groupBy("bucket").applyInArrow(count_words, "chunk int, bucket int, count binary, uses binary, after binary, tokens long, types long")
     # one row, told to every chunk
     sums = counted.where("chunk is null").agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types"))
-    sums = df.sparkSession.range(chunks.count).select(F.col("id").cast("int").alias("chunk")).join(F.broadcast(sums))
+    sums = chunks.numbers().join(F.broadcast(sums))
     told = pairs.unionByName(counted.where("chunk is not null").drop("tokens", "types"), allowMissingColumns=True).unionByName(sums, allowMissingColumns=True)
     return chunks.groups.cogroup(told.groupBy("chunk")).applyInArrow(score, f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 

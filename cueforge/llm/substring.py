@@ -67,7 +67,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             if j > i:
                 low, first = np.unique(probes[i:j].astype(np.uint32), return_inverse=True)
                 many = (np.bincount(first) > 1) | (np.bincount(first, twice[i:j]) > 0)
-                out.append((b, int(key[0].as_py()), pack_sorted(low), np.packbits(many).tobytes(), pack_sorted(np.unique(blocks[k:m].astype(np.uint32)))))
+                out.append((buckets.keys[b], int(key[0].as_py()), pack_sorted(low), np.packbits(many).tobytes(), pack_sorted(np.unique(blocks[k:m].astype(np.uint32)))))
         return _table(out, ("bucket", "chunk", "probes", "many", "blocks"))
 
     def anchors(key: tuple, table: pa.Table) -> pa.Table:
@@ -90,7 +90,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         order = np.argsort(rolling, kind="stable")
         ascending = rolling[order]
         cut = buckets.cuts(ascending)
-        for b, x in zip(answers.column("bucket").to_pylist(), answers.column("answer"), strict=True):
+        for key, x in zip(answers.column("bucket").to_pylist(), answers.column("answer"), strict=True):
+            b = buckets.place[key]
             low = ascending[cut[b] : cut[b + 1]].astype(np.uint32)
             hit[at[order[cut[b] : cut[b + 1]][np.isin(low, unpack_sorted(x.as_py(), np.uint32))]]] = 1
         total = np.cumsum(hit) - hit
@@ -121,7 +122,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         full, second, least, *_ = reach(docs, *candidates(docs, right))
         cut = buckets.cuts(full)
         return _table(
-            [(b, int(key[0].as_py()), pack_sorted(full[i:j]), second[i:j].tobytes(), pack(least[i:j])) for b, (i, j) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if j > i],
+            [(buckets.keys[b], int(key[0].as_py()), pack_sorted(full[i:j]), second[i:j].tobytes(), pack(least[i:j])) for b, (i, j) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if j > i],
             ("bucket", "chunk", "full", "second", "least"),
         )
 
@@ -148,7 +149,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             words, place, full, second = candidates(docs, found["answer"])
             distinct, _, least, own, number, rank = reach(docs, words, place, full, second)
             cut, earlier = buckets.cuts(distinct), np.zeros(len(distinct), bool)
-            for b, x in zip(found["earlier"].column("bucket").to_pylist(), found["earlier"].column("earlier"), strict=True):
+            for number_, x in zip(found["earlier"].column("bucket").to_pylist(), found["earlier"].column("earlier"), strict=True):
+                b = buckets.place[number_]
                 earlier[cut[b] : cut[b + 1]] = np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=int(cut[b + 1] - cut[b])).astype(bool)
             gone = place[own][earlier[rank] | (number > least[rank])]
             step = np.zeros(len(words.doc) + 1, np.int64)
@@ -168,9 +170,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return pa.table({id_col: docs.column("id"), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept": pa.array(kept, pa.string())})
 
     asked = chunks.groups.applyInArrow(ask, "bucket int, chunk int, probes binary, many binary, blocks binary")
-    answered = asked.repartition(chunks.partitions, "bucket").groupBy("bucket").applyInArrow(anchors, "chunk int, bucket int, answer binary")
+    answered = chunks.dealt(asked, "bucket").groupBy("bucket").applyInArrow(anchors, "chunk int, bucket int, answer binary")
     claimed = chunks.groups.cogroup(answered.groupBy("chunk")).applyInArrow(claim, "bucket int, chunk int, full binary, second binary, least binary")
-    settled = claimed.repartition(chunks.partitions, "bucket").groupBy("bucket").applyInArrow(settle, "chunk int, bucket int, earlier binary")
+    settled = chunks.dealt(claimed, "bucket").groupBy("bucket").applyInArrow(settle, "chunk int, bucket int, earlier binary")
     told = answered.unionByName(settled, allowMissingColumns=True)
     return chunks.groups.cogroup(told.groupBy("chunk")).applyInArrow(remove, f"`{id_col}` {kind}, n_words long, n_removed long, kept string")
 

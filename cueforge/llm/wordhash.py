@@ -48,6 +48,8 @@ class Roller:
         return mix((total[end] - total[start]) * self.down[start] + (end - start).astype(np.uint64))
 
 
+#: Bytes that are hashed at a time.
+_PART = 1 << 19
 _BYTES = tuple(mix(np.arange(1 + 256 * k, 257 + 256 * k, dtype=np.uint64)) for k in range(2))
 _OF_BYTES = (Roller(0x5851F42D4C957F2D), Roller(0xD1342543DE82EF95))
 _OF_WORDS = (Roller(0x2545F4914F6CDD1D), Roller(0x9E3779B97F4A7C15))
@@ -64,7 +66,14 @@ class Words:
     counts: np.ndarray  # words of each text
 
     def hashes(self, which: int = 0) -> np.ndarray:
-        return _OF_BYTES[which].windows(_BYTES[which][self.data], self.start, self.end)
+        out = np.empty(len(self.start), np.uint64)
+        a = 0
+        while a < len(out):  # in parts of bounded bytes, or of one long word
+            at = self.start[a]
+            b = max(a + 1, int(np.searchsorted(self.end, at + _PART, "right")))
+            out[a:b] = _OF_BYTES[which].windows(_BYTES[which][self.data[at : self.end[b - 1]]], self.start[a:b] - at, self.end[a:b] - at)
+            a = b
+        return out
 
     def grams(self, n: int, hashes: np.ndarray, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """The n-grams inside a text: where each starts (a word's number), and its hash."""
