@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cueforge.llm.bpe import bpe_encode
 from cueforge.llm.common import read_table
 from cueforge.llm.embed_dedup import embedding_duplicates
+from cueforge.llm.html_extract import extract_text
 from cueforge.llm.lm import lm_scores
 from cueforge.llm.minhash import near_duplicates
 from cueforge.llm.quality import ORACLE as QUALITY_SQL
@@ -23,6 +24,10 @@ from cueforge.llm.token_count import token_counts
 TOKEN_LIMIT = 2048
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(read_table(spark, sf_dir, "pages"))
+
+
 def op2_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     coded = bpe_encode(read_table(spark, sf_dir, "documents"), path, decoded_col="decoded")
@@ -63,6 +68,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html_extract": op1_html_extract,
         "op2_bpe_encode_decode": op2_bpe_encode_decode,
         "op3_lm_scores": op3_lm_scores,
         "op4_minhash_dedup": op4_minhash_dedup,
