@@ -77,17 +77,17 @@ def _boilerplate(name: str, attributes: str) -> bool:
     return False
 
 
-def _end(tags: list[re.Match], k: int) -> int | None:
-    """The tag that ends the element that tag k begins, if any does; a paragraph ends before the next block."""
+def _end(tags: list[re.Match], k: int) -> tuple[int, int] | None:
+    """Where the element that tag k begins ends, and the tag to go on with; a paragraph ends before the next block."""
     name, depth = tags[k][2].lower(), 1
     for j in range(k + 1, len(tags)):
         other = tags[j][2].lower()
-        if name == "p" and other in _BLOCKS:
-            return j if other == "p" and tags[j][1] else j - 1
+        if name == "p" and other in _BLOCKS and not (other == "p" and tags[j][1]):
+            return tags[j].start(), j
         if other == name:
             depth += -1 if tags[j][1] else 1
             if not depth:
-                return j
+                return tags[j].end(), j + 1
     return None
 
 
@@ -123,7 +123,7 @@ def lines_of(page: str) -> list[Line]:
         if not closes and name not in _VOID and _boilerplate(name, tag[3]) and (end := _end(tags, k)) is not None:
             if name in _BLOCKS:
                 flush(gap=name in _BOILERPLATE)
-            at, k = tags[end].end(), end + 1
+            at, k = end
             continue
         if name in ("article", "main"):
             flush(gap=True)

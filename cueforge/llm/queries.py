@@ -14,6 +14,7 @@ from cueforge.llm.embed_dedup import embedding_duplicates
 from cueforge.llm.html_extract import extract_text
 from cueforge.llm.lm import lm_scores
 from cueforge.llm.minhash import near_duplicates
+from cueforge.llm.mixing import mix_sources
 from cueforge.llm.quality import ORACLE as QUALITY_SQL
 from cueforge.llm.quality import quality_rules
 from cueforge.llm.secret_scan import secret_scan
@@ -22,6 +23,8 @@ from cueforge.llm.token_count import token_counts
 
 #: A document of more tokens than this does not fit the context.
 TOKEN_LIMIT = 2048
+#: Entropy of the source weights, in nats.
+MIX_ENTROPY = 2.9
 
 
 def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +64,12 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_duplicates(read_table(spark, sf_dir, "embeddings"))
 
 
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of a set entropy, in the least budget that passes over every source once or more."""
+    mixed = mix_sources(read_table(spark, sf_dir, "documents"), entropy=MIX_ENTROPY)
+    return mixed.select("doc_id", "source", "mix_epoch", "mix_block", "mix_place")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
@@ -76,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_secret_scan": op6_secret_scan,
         "op7_substring_dedup": op7_substring_dedup,
         "op8_embedding_dedup": op8_embedding_dedup,
+        "op9_mix_sources": op9_mix_sources,
         "op10_token_counts": op10_token_counts,
     }
 
