@@ -1,0 +1,13 @@
+"""Schemas of the cue tables; nothing is inferred."""
+
+from __future__ import annotations
+
+from pyspark.sql import types as T
+
+DOCUMENT = T.StructType([T.StructField("file_id", T.StringType()), T.StructField("body", T.StringType())])
+CUE = T.StructType([
+    T.StructField("file_id", T.StringType()), T.StructField("ord", T.IntegerType()), T.StructField("index", T.LongType()),
+    T.StructField("start_ms", T.LongType()), T.StructField("end_ms", T.LongType()), T.StructField("text", T.StringType()),
+])
+TAGS = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("value", T.StringType())]))
+VOICE = T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("name", T.StringType()), T.StructField("locale", T.StringType())])
