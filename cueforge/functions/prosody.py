@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from cueforge.functions.text import integer
 
-TAG = r"(?U)<(\w+):(\w+)>"
+#: Letters, numbers of every kind, and the underscore are word characters.
+TAG = r"<([\p{L}\p{N}_]+):([\p{L}\p{N}_]+)>"
 
 # Words a minute of named rates.
 RATE_WPM = {"x-slow": 100, "slow": 130, "medium": 175, "normal": 175, "fast": 220, "x-fast": 260}
