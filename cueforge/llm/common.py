@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Where lineage is cut if the session names no shared folder (tests, local mode).
 LOCAL_CHECKPOINTS = "/tmp/cueforge-checkpoints"
+#: Estimates of more bytes than this are not believed.
+UNBELIEVED = 1 << 52
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -26,17 +28,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of df's size: for a scan, the size of its files.
+    """The size of df: for a scan, of its files by Catalyst's estimate, which works for any store and starts no job.
 
-    Asked of the optimised plan, so it works for any store that Spark reads and
-    starts no job.
+    Where Catalyst has no estimate, or one that cannot be meant (the product
+    of a join's sides), the bytes of df's strings are added up by a job.
     """
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    guess = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if guess < UNBELIEVED:
+        return guess
+    size = sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)).cast("long") for c in df.columns), F.lit(0))
+    return int(df.agg(F.sum(size)).first()[0] or 0)
 
 
 def chunk_count(df: DataFrame, bytes_each: int, least: int = 8) -> int:
     """How many chunks of about bytes_each hold df; grows with the input, without a cap."""
-    return max(least, math.ceil(min(plan_bytes(df), 1 << 60) / bytes_each))
+    return max(least, math.ceil(plan_bytes(df) / bytes_each))
 
 
 def chunk_of(n_chunks: int, *columns: str) -> Column:

@@ -28,6 +28,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from cueforge.llm.chunked import Chunks, column, documents, pack, pack_sorted, sum_by, unpack, unpack_sorted
 from cueforge.llm.wordhash import mix, words_of
@@ -100,7 +101,7 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hel
     Without any training text every word has probability 1 / (0.1 * 1) * 0.1 = 1
     under the formulas, so all scores are 0. Other columns are not read.
     """
-    kind = df.schema[id_col].dataType.simpleString()
+    kind, id_type = df.schema[id_col].dataType.simpleString(), to_arrow_type(df.schema[id_col].dataType)
     chunks = Chunks(df, id_col, text_col, {"held": held_out(id_col) if held is None else F.coalesce(held, F.lit(False))})
     buckets = chunks.buckets
 
@@ -151,7 +152,7 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hel
     def score(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         docs = documents(left) if left.num_rows else None
         if docs is None:
-            return pa.table({id_col: pa.array([], _arrow(kind)), "held_out": pa.array([], pa.bool_()), **{k: pa.array([], pa.int64()) for k in ("n_tokens", "n_known", "train_tokens")}, **{k: pa.array([], pa.float64()) for k in ("base_score", "score")}})
+            return pa.table({id_col: pa.array([], id_type), "held_out": pa.array([], pa.bool_()), **{k: pa.array([], pa.int64()) for k in ("n_tokens", "n_known", "train_tokens")}, **{k: pa.array([], pa.float64()) for k in ("base_score", "score")}})
         read = _Reading(docs)
         known = right.filter(pa.compute.is_valid(right.column("tokens")))
         tokens, types = (known.column(n)[0].as_py() for n in ("tokens", "types"))
@@ -185,9 +186,3 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hel
     told = pairs.unionByName(counted.where("chunk is not null").drop("tokens", "types"), allowMissingColumns=True).unionByName(sums, allowMissingColumns=True)
     return chunks.groups.cogroup(told.groupBy("chunk")).applyInArrow(score, f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
-
-def _arrow(kind: str) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-    from pyspark.sql.types import _parse_datatype_string
-
-    return to_arrow_type(_parse_datatype_string(kind))
