@@ -6,6 +6,9 @@ file (ord). All of it is expressions in one narrow stage.
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +32,12 @@ def read_files(spark: SparkSession, path: str, strict: bool = True) -> DataFrame
     body = F.when(F.is_valid_utf8(text), text)
     if strict:
         body = F.coalesce(body, F.raise_error(F.concat(F.lit("not UTF-8: "), F.col("path"))).cast("string"))
-    return files.select(F.col("path").alias("file_id"), F.regexp_replace(body, "\r\n?", "\n").alias("body"))
+    read = files.select(F.col("path").alias("file_id"), F.regexp_replace(body, "\r\n?", "\n").alias("body"))
+    # the scan passes over files of no bytes; the listing has them
+    names = [(re.sub(r"^([\w+.-]+):///", r"\1:/", unquote(f)),) for f in files.inputFiles()]
+    listed = spark.createDataFrame(names, "file_id string")
+    empty = listed.join(files.select(F.col("path").alias("file_id")), "file_id", "left_anti").withColumn("body", F.lit(""))
+    return read.unionByName(empty)
 
 
 def accept_uploads(files: DataFrame, content: str = "content") -> DataFrame:
