@@ -90,7 +90,9 @@ def mix_sources(df: DataFrame, source_col: str = "source", text_col: str = "text
     new = ("_source", "_tokens", "_row", "mix_epoch", "mix_block", "mix_place")
     plain = [c for c in df.columns if c not in new]
     docs = df.select(*plain, source.alias("_source"), (_tokens(F.col(text_col)) if tokens is None else tokens).alias("_tokens"), F.xxhash64(F.lit(seed), *(F.col(c) for c in plain if not dict(df.dtypes)[c].startswith("map"))).alias("_row"))
-    totals = checkpointed(docs.groupBy("_source").agg(F.sum("_tokens").alias("total"), F.count("*").alias("docs")))
+    # what is needed of each document to place the budget, counted once
+    sized = checkpointed(docs.select("_source", "_tokens", "_row"))
+    totals = checkpointed(sized.groupBy("_source").agg(F.sum("_tokens").alias("total"), F.count("*").alias("docs")))
     whole = totals.agg(F.sum("total").alias("t"), F.min(F.when(F.col("total") > 0, F.col("total"))).alias("least"), F.max("total").alias("most"), F.count("*").alias("n")).first()
     all_tokens = int(whole["t"] or 0)
     shares = totals.where("total > 0").withColumn("share", F.col("total") / F.lit(float(max(1, all_tokens))))
@@ -109,7 +111,7 @@ def mix_sources(df: DataFrame, source_col: str = "source", text_col: str = "text
     block = F.pmod(F.col("_row"), F.col("blocks")).cast("int")
     order = lambda epoch: F.xxhash64(F.lit(seed), epoch, F.col("_source"), F.col("_block"))
     place = lambda epoch: F.xxhash64(F.lit(seed + 1), epoch, F.col("_row"))
-    brief = docs.select("_source", "_tokens", "_row").join(told(spent), "_source").where("rest > 0").withColumn("_block", block)
+    brief = sized.join(told(spent), "_source").where("rest > 0").withColumn("_block", block)
     # the block in which the last pass ends: the first that does not fit whole
     sizes = brief.groupBy("_source", "_block", "passes", "rest").agg(F.sum("_tokens").alias("size")).withColumn("at", order(F.col("passes")))
     sizes = sizes.withColumn("upto", F.sum("size").over(Window.partitionBy("_source").orderBy("at", "_block").rowsBetween(Window.unboundedPreceding, 0)))
