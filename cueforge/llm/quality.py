@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cueforge.llm.common import checkpointed
+
 #: A document of fewer words, or with more than this percentage of repeated words, fails.
 LEAST_WORDS, MOST_REPEATED = 10, 20
 WINDOW = 5
@@ -31,6 +33,8 @@ MOST_LOST = 60
 SALTS = 16
 
 _SPACE = r"[\x20\x09-\x0D]+"
+#: Lines of up to LINE_WORDS words; long ones are left after as many, without going back.
+_SHORT = rf"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){{0,{LINE_WORDS - 1}}}+[^\x20\x09-\x0D]*+[\x20\x09-\x0D]*+$"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789"
 _LOWER = "abcdefghijklmnopqrstuvwxyz000000000"
 
@@ -83,7 +87,7 @@ def _measures(text: Column) -> dict[str, Column]:
 
 def _lines(text: Column) -> Column:
     """The distinct normalised lines of up to LINE_WORDS words, as (hash, words of all its lines)."""
-    short = F.transform(F.split(text, "\n"), normal)
+    short = F.transform(F.filter(F.split(text, "\n"), lambda line: line.rlike(_SHORT)), normal)
     counted = F.transform(short, lambda x: F.struct(F.xxhash64(x).alias("line"), F.when(x == "", 0).otherwise(F.size(F.split(x, " "))).alias("n")))
     return F.filter(counted, lambda x: x.getField("n").between(1, LINE_WORDS))
 
@@ -104,13 +108,15 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n_repeat_words, n_lost_words long, base_failed, kept boolean), one row for
     each row in. A null text counts as empty and fails the base rules; a null
     host is a host of its own; ids may be null or repeated; columns of df that
-    are not named are not read. keep names further columns to return.
+    are not named are not read. keep names further columns to return. The short
+    lines' hashes go to the shared checkpoint folder in an eager step.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     host = F.coalesce(F.col(host_col).cast("string"), F.lit(""))
     row = F.xxhash64(F.col(id_col), host, text)
     docs = df.select(row.alias("_row"), host.alias("host"), F.xxhash64(text).alias("content"), _lines(text).alias("lines"))
-    some = docs.where(F.size("lines") > 0)
+    # short lines are a small part of the texts, and three steps need them
+    some = checkpointed(docs.where(F.size("lines") > 0))
     often = boilerplate(some).withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
     # equal rows get equal answers, so each is asked once
     asked = some.groupBy("_row").agg(F.first("host").alias("host"), F.first("lines").alias("lines"))
