@@ -1,6 +1,6 @@
 """Near-duplicate documents by b-bit MinHash.
 
-A document is its set of distinct word 3-grams. Equal sets become one class
+A document is its set of distinct word n-grams. Equal sets become one class
 first, so exact copies cost a partial aggregation and nothing more. Of each
 class 128 minima are taken: bands of 5 minima give candidates, and the low 2
 bits of every minimum are packed into four longs, whose differing positions,
@@ -29,7 +29,8 @@ from cueforge.llm.chunked import column
 from cueforge.llm.common import checkpointed, components
 from cueforge.llm.wordhash import mix, words_of
 
-SHINGLE = 3
+#: Words of a shingle, and the percentage of shared shingles from which documents are linked.
+SHINGLE, PERCENT = 5, 80
 MINIMA, BAND_ROWS = 128, 5
 BANDS = MINIMA // BAND_ROWS
 BITS = 2
@@ -67,16 +68,16 @@ def shingle_sets(texts: pa.Array, n: int = SHINGLE) -> tuple[np.ndarray, np.ndar
 
 
 def _short(hashes: np.ndarray) -> int:
-    """The hash of a whole short sequence; no 3-gram's."""
+    """The hash of a whole short sequence; no n-gram's."""
     total = len(hashes)
     for h in hashes.tolist():
         total = (total * 0x9E3779B97F4A7C15 + h) & 0xFFFFFFFFFFFFFFFF
     return int(mix(np.array([total ^ 0x5DEECE66D], np.uint64))[0])
 
 
-def signatures(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def signatures(texts: pa.Array, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Set sizes, set hashes, band keys (rows x BANDS) and packed low bits (rows x 4) of texts."""
-    grams, bound = shingle_sets(texts)
+    grams, bound = shingle_sets(texts, n)
     size = np.diff(bound)
     minima = np.zeros((len(size), MINIMA), np.uint64)
     whole = np.zeros(len(size), np.uint64)
@@ -129,8 +130,8 @@ def _texts(rows: DataFrame, keys: DataFrame) -> DataFrame:
     return found.groupBy("cls").agg(F.first("text").alias("text")) if not few else found.dropDuplicates(["cls"]).select("cls", "text")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
-    """Group documents whose shingle sets have 100 * intersection >= percent * union, links being transitive.
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """Group documents whose sets of word shingles (of shingle words each) have 100 * intersection >= percent * union, links being transitive.
 
     Returns (id, n_shingles long, component_id, kept boolean), one row for each
     row in; component_id is the smallest id reachable, kept marks that
@@ -146,7 +147,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _split(batch, 2):
-                size, whole, bands, low = signatures(part.column(2))
+                size, whole, bands, low = signatures(part.column(2), shingle)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(size, pa.int64()), pa.array(whole.view(np.int64)), _listed(bands), _listed(low)], names=["row", "id", "n", "cls", "bands", "low"])
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -171,7 +172,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _split(batch, 2, 3):
-                (a, abound), (b, bbound) = shingle_sets(part.column(2)), shingle_sets(part.column(3))
+                (a, abound), (b, bbound) = shingle_sets(part.column(2), shingle), shingle_sets(part.column(3), shingle)
                 good = np.array([_linked(a[abound[k] : abound[k + 1]], b[bbound[k] : bbound[k + 1]], percent) for k in range(part.num_rows)], bool)
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(good)), part.column(1).filter(pa.array(good))], names=["a", "b"])
 
@@ -195,7 +196,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         own = table.column("own").to_numpy()
         found = _joining(
             table.column("band")[0].as_py(), table.column("cls").to_numpy(), table.column("component").to_numpy(), table.column("n").to_numpy(), *(np.array(table.column(x).to_pylist(), np.int64).view(np.uint64) for x in ("low", "bands")),
-            shingle_sets(column(table, "text")), None if i == j else own == i, most, percent,
+            shingle_sets(column(table, "text"), shingle), None if i == j else own == i, most, percent,
         )
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 

@@ -42,7 +42,7 @@ def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read_table(spark, sf_dir, "documents"))
+    return near_duplicates(read_table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

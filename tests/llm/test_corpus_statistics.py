@@ -84,11 +84,11 @@ def test_repeats_of_just_the_window(make_docs, shift):
     assert got == {1: 0, 2: 13, 3: 0}
 
 
-def brute_groups(rows, percent=85):
+def brute_groups(rows, n=3, percent=85):
     sets = []
     for _, t in rows:
         w = tokens(t)
-        sets.append({tuple(w[k : k + 3]) for k in range(len(w) - 2)} if len(w) > 2 else {tuple(w)} if w else set())
+        sets.append({tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set())
     parent = list(range(len(rows)))
 
     def root(x):
@@ -112,13 +112,14 @@ def brute_groups(rows, percent=85):
     return out
 
 
-def near(rows, make_docs):
-    return [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(make_docs(rows)).collect()]
+def near(rows, make_docs, n=3, percent=85):
+    return [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(make_docs(rows), shingle=n, percent=percent).collect()]
 
 
-def test_near_duplicates(make_docs, corpus):
-    want = brute_groups(corpus)
-    assert sorted(map(key, near(corpus, make_docs))) == sorted(map(key, want))
+@pytest.mark.parametrize("n,percent", [(3, 85), (5, 80)])
+def test_near_duplicates(make_docs, corpus, n, percent):
+    want = brute_groups(corpus, n, percent)
+    assert sorted(map(key, near(corpus, make_docs, n, percent))) == sorted(map(key, want))
     assert sum(not x[3] for x in want) > 15
 
 
@@ -139,7 +140,7 @@ def test_signature_estimates():
 
     words = [f"w{k}" for k in range(2000)]
     texts = pa.array([" ".join(words), " ".join(words[100:])])
-    size, _, _, low = signatures(texts)
+    size, _, _, low = signatures(texts, 3)
     apart = np.bitwise_count(((low[0] ^ low[1]) | ((low[0] ^ low[1]) >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum()
     assert size.tolist() == [1998, 1898] and abs((1 - apart / 128 - 0.25) / 0.75 - 0.95) < 0.1
 
