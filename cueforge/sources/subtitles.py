@@ -52,10 +52,32 @@ def clock_ms(line: Column, first: int) -> Column:
     return part[0] * 3_600_000 + part[1] * 60_000 + part[2] * 1000 + part[3]
 
 
+def _split(body: Column) -> Column:
+    return F.split(strip(body), f"\n[{SPACE}]*\n")
+
+
+def _lines(block: Column) -> Column:
+    return F.split(strip(block), LINE_END)
+
+
+def _timecode(lines: Column) -> Column:
+    return ascii_digits(strip(F.get(lines, F.lit(1))))
+
+
+def has_cue(body: Column) -> Column:
+    """Whether any block of a body is a cue."""
+
+    def cue(block: Column) -> Column:
+        # an array of one binds the lines once
+        return F.exists(F.array(_lines(block)), lambda x: (F.size(x) >= 3) & integer(F.get(x, F.lit(0))).isNotNull() & _timecode(x).rlike(TIMECODE))
+
+    return F.exists(_split(body), cue)
+
+
 def blocks(docs: DataFrame) -> DataFrame:
     """(file_id, ord, lines): the blank-line blocks of each body, in order."""
-    split = docs.select("file_id", F.posexplode(F.split(strip(F.col("body")), f"\n[{SPACE}]*\n")).alias("ord", "block"))
-    return split.select("file_id", "ord", F.split(strip(F.col("block")), LINE_END).alias("lines"))
+    split = docs.select("file_id", F.posexplode(_split(F.col("body"))).alias("ord", "block"))
+    return split.select("file_id", "ord", _lines(F.col("block")).alias("lines"))
 
 
 def parse(docs: DataFrame) -> DataFrame:
@@ -66,8 +88,7 @@ def parse(docs: DataFrame) -> DataFrame:
     ignored. A null body has no cues.
     """
     rows = blocks(docs).where(F.size("lines") >= 3)
-    line = ascii_digits(strip(F.col("lines")[1]))
-    rows = rows.select("file_id", "ord", "lines", integer(F.col("lines")[0]).alias("index"), line.alias("line"))
+    rows = rows.select("file_id", "ord", "lines", integer(F.col("lines")[0]).alias("index"), _timecode(F.col("lines")).alias("line"))
     rows = rows.where(F.col("index").isNotNull() & F.col("line").rlike(TIMECODE))
     text = F.array_join(F.slice("lines", F.lit(3), F.size("lines")), "\n")
     return rows.select("file_id", "ord", "index", clock_ms(F.col("line"), 1).alias("start_ms"), clock_ms(F.col("line"), 5).alias("end_ms"), text.alias("text"))
@@ -75,8 +96,8 @@ def parse(docs: DataFrame) -> DataFrame:
 
 def parse_or_plain(docs: DataFrame) -> DataFrame:
     """parse(), but a body without any cue is one cue of its whole text, (1, 0, 0), at ord 0."""
-    cues = parse(docs)
-    some = cues.select(F.col("file_id").alias("_file")).distinct()
-    plain = docs.where(F.col("body").isNotNull()).join(some, F.col("file_id").eqNullSafe(F.col("_file")), "left_anti")
+    plain = docs.where(F.col("body").isNotNull() & ~has_cue(F.col("body")))
     zero = F.lit(0).cast("bigint")
-    return cues.unionByName(plain.select("file_id", F.lit(0).alias("ord"), F.lit(1).cast("bigint").alias("index"), zero.alias("start_ms"), zero.alias("end_ms"), F.col("body").alias("text")))
+    whole = plain.select("file_id", F.lit(0).alias("ord"), F.lit(1).cast("bigint").alias("index"), zero.alias("start_ms"), zero.alias("end_ms"), F.col("body").alias("text"))
+    # both are narrow; no text is shuffled to learn which files have cues
+    return parse(docs).unionByName(whole)
