@@ -8,9 +8,9 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from cueforge.operators.synthesize import backend
+from cueforge.operators.synthesize import Say, backend
 from cueforge.plans.run import run_files
-from cueforge.sources import sinks
+from cueforge.sources import sinks, voices
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -26,7 +26,10 @@ def main(argv: list[str] | None = None) -> int:
     options = parser.parse_args(argv)
     spark = SparkSession.builder.appName("cueforge").getOrCreate()
     try:
-        run = run_files(spark, options.path, backend(options.backend, options.model), options.lang)
+        by = backend(options.backend, options.model)
+        # only say speaks with a voice of its own for each language
+        catalogue = voices.installed(spark) if options.lang and isinstance(by, Say) else None
+        run = run_files(spark, options.path, by, options.lang, catalogue)
         if options.output:
             run.write(options.output)
         if options.command == "batch":
