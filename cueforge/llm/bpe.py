@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Chunks that a worker remembers before it starts afresh.
-CACHE_LIMIT = 400_000
+CACHE_LIMIT = 200_000
 #: Code points that are pre-tokenised at a time.
 PIECE_CHARS = 1 << 20
 #: Cells of a batch of trees.
