@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from cueforge.llm.common import chunk_count, chunk_of
 
 #: Input bytes (as stored) of a chunk of documents.
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 6 << 20
 #: Rows that a partition holds back before it packs them.
 PACK_BYTES = 64 << 20
 
