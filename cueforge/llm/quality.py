@@ -1,17 +1,18 @@
 """Document quality by text measures and cross-document line frequency, in DataFrame functions only.
 
 Base measures are taken from each whole text in place, without a shuffle. Then
-short lines are normalised and hashed, and for every host the distinct texts
-that hold a line are counted; a line in too many of them is boilerplate. A
-document that is left with too little once its boilerplate lines are gone is
-rejected.
-
-Copies of one text on one host count once, and only lines of up to
-LINE_WORDS words can be boilerplate, so that a document which was copied often
-does not deplete itself. Each document brings a line once, lines are counted
-with a partial aggregation, and the few lines above the limit are replicated
-to SALTS parts before the documents' lines meet them: no line or host, however
-common, is one task's.
+lines are normalised and hashed, and for every host the distinct texts that
+hold a line are counted; a line in too many of them is boilerplate. A document
+that is left with too little once its boilerplate lines are gone is rejected.
+
+Copies of one text on one host count once. Lines of every length are counted;
+those of more than LINE_WORDS words are often paragraphs of near copies, so of
+the texts that the lines in question make up almost alone (which would be
+depleted) all together count as one. A document which was copied often,
+changed or not, thus does not deplete itself. Lines are counted with a partial
+aggregation, and the few above the limit are broadcast, or replicated to SALTS
+parts before the documents' lines meet them: no line or host, however common,
+is one task's.
 """
 
 from __future__ import annotations
@@ -24,17 +25,19 @@ from cueforge.llm.common import checkpointed
 #: A document of fewer words, or with more than this percentage of repeated words, fails.
 LEAST_WORDS, MOST_REPEATED = 10, 20
 WINDOW = 5
-#: Lines of more words are paragraphs.
+#: Lines of more words may be paragraphs, and are counted in groups of near copies.
 LINE_WORDS = 16
 #: A line is boilerplate in more than this many distinct texts of a host and more than this percentage of them.
 LINE_TEXTS, LINE_PERCENT = 20, 1
 #: A document that loses more than this percentage of its words, or falls under LEAST_WORDS, is depleted.
 MOST_LOST = 60
 SALTS = 16
+#: Boilerplate lines that are broadcast; more are joined by a shuffle.
+BROADCAST_LINES = 100_000
 
 _SPACE = r"[\x20\x09-\x0D]+"
-#: Lines of up to LINE_WORDS words; long ones are left after as many, without going back.
-_SHORT = rf"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){{0,{LINE_WORDS - 1}}}+[^\x20\x09-\x0D]*+[\x20\x09-\x0D]*+$"
+#: White space within a line.
+_BLANKS = r"[\x20\x09\x0B-\x0D]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789"
 _LOWER = "abcdefghijklmnopqrstuvwxyz000000000"
 
@@ -86,19 +89,40 @@ def _measures(text: Column) -> dict[str, Column]:
 
 
 def _lines(text: Column) -> Column:
-    """The distinct normalised lines of up to LINE_WORDS words, as (hash, words of all its lines)."""
-    short = F.transform(F.filter(F.split(text, "\n"), lambda line: line.rlike(_SHORT)), normal)
-    counted = F.transform(short, lambda x: F.struct(F.xxhash64(x).alias("line"), F.when(x == "", 0).otherwise(F.size(F.split(x, " "))).alias("n")))
-    return F.filter(counted, lambda x: x.getField("n").between(1, LINE_WORDS))
-
-
-def boilerplate(docs: DataFrame) -> DataFrame:
-    """(host, line) of the lines above both limits; docs: host, content (a hash of the text), lines."""
-    texts = docs.groupBy("host", "content").agg(F.first("lines").alias("lines"))
-    hosts = texts.groupBy("host").agg(F.count("*").alias("texts"))
-    lines = texts.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x.getField("line")))).alias("line"))
-    often = lines.groupBy("host", "line").agg(F.count("*").alias("found")).where(F.col("found") > LINE_TEXTS)
-    return often.join(hosts, "host").where(F.col("found") * 100 > F.col("texts") * LINE_PERCENT).select("host", "line")
+    """The normalised lines of a text that have words, each as (hash, words)."""
+    lines = F.split(F.regexp_replace(F.translate(text, _UPPER, _LOWER), _BLANKS, " "), "\n")
+    full = F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: x != "")  # noqa: PLW0108
+    return F.transform(full, lambda x: F.struct(F.xxhash64(x).alias("line"), (F.octet_length(x) - F.octet_length(F.translate(x, " ", "")) + 1).alias("n")))
+
+
+def _depleted(n: Column, lost: Column) -> Column:
+    return (lost > 0) & ((n - lost < LEAST_WORDS) | (lost * 100 > n * MOST_LOST))
+
+
+def _found(texts: DataFrame, often: DataFrame) -> DataFrame:
+    """(_row, host, words, line, n) of the lines of texts that are among often (checkpointed)."""
+    lines = texts.select("_row", "host", "words", F.explode("lines").alias("x")).select("_row", "host", "words", "x.line", "x.n")
+    if often.count() <= BROADCAST_LINES:
+        return lines.join(F.broadcast(often), ["host", "line"])
+    salted = often.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    return lines.withColumn("salt", F.pmod("_row", F.lit(SALTS)).cast("int")).join(salted, ["host", "line", "salt"])
+
+
+def boilerplate(texts: DataFrame) -> DataFrame:
+    """(host, line) of the lines above both limits; texts: host, _row (a hash of host and text), words, lines, each text of a host once."""
+    short = F.exists("lines", lambda x: x.getField("n") <= LINE_WORDS)
+    # short lines are held against the texts that have any
+    hosts = checkpointed(texts.groupBy("host").agg(F.count("*").alias("texts"), F.count(F.when(short, 1)).alias("short_texts")))
+    lines = texts.select("host", F.explode(F.array_distinct("lines")).alias("x")).select("host", "x.line", "x.n")
+    often = lines.groupBy("host", "line").agg(F.count("*").alias("found"), F.first("n").alias("n")).where(F.col("found") > LINE_TEXTS).join(hosts, "host")
+    often = checkpointed(often.where(F.col("found") * 100 > F.when(F.col("n") <= LINE_WORDS, F.col("short_texts")).otherwise(F.col("texts")) * LINE_PERCENT).select("host", "line", F.col("n").alias("size")))
+    sure, long = often.where(F.col("size") <= LINE_WORDS).select("host", "line"), often.where(F.col("size") > LINE_WORDS)
+    if long.isEmpty():
+        return sure
+    held = _found(texts, often).groupBy("host", "_row").agg(F.first("words").alias("words"), F.sum("n").alias("lost"), F.collect_set(F.when(F.col("size") > LINE_WORDS, F.col("line"))).alias("long"))
+    held = held.select("host", _depleted(F.col("words"), F.col("lost")).cast("int").alias("copy"), F.explode("long").alias("line"))
+    groups = held.groupBy("host", "line").agg((F.sum(1 - F.col("copy")) + F.max("copy")).alias("found")).where(F.col("found") > LINE_TEXTS).join(hosts, "host")
+    return checkpointed(sure.union(groups.where(F.col("found") * 100 > F.col("texts") * LINE_PERCENT).select("host", "line")))
 
 
 def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -108,26 +132,23 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n_repeat_words, n_lost_words long, base_failed, kept boolean), one row for
     each row in. A null text counts as empty and fails the base rules; a null
     host is a host of its own; ids may be null or repeated; columns of df that
-    are not named are not read. keep names further columns to return. The short
-    lines' hashes go to the shared checkpoint folder in an eager step.
+    are not named are not read. keep names further columns to return.
+    The lines' hashes go to the shared checkpoint folder in eager steps.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     host = F.coalesce(F.col(host_col).cast("string"), F.lit(""))
-    row = F.xxhash64(F.col(id_col), host, text)
-    docs = df.select(row.alias("_row"), host.alias("host"), F.xxhash64(text).alias("content"), _lines(text).alias("lines"))
-    # short lines are a small part of the texts, and three steps need them
-    some = checkpointed(docs.where(F.size("lines") > 0))
-    often = boilerplate(some).withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
-    # equal rows get equal answers, so each is asked once
-    asked = some.groupBy("_row").agg(F.first("host").alias("host"), F.first("lines").alias("lines"))
-    asked = asked.select("_row", "host", F.explode("lines").alias("x")).select("_row", "host", "x.line", "x.n", F.pmod("_row", F.lit(SALTS)).cast("int").alias("salt"))
-    lost = asked.join(often, ["host", "line", "salt"]).groupBy("_row").agg(F.sum("n").alias("n_lost_words"))
+    row = F.xxhash64(host, text)
+    docs = df.select(row.alias("_row"), host.alias("host"), _lines(text).alias("lines")).where(F.size("lines") > 0)
+    # equal texts of a host get equal answers, so each is asked once
+    texts = docs.groupBy("_row").agg(F.first("host").alias("host"), F.first("lines").alias("lines"))
+    texts = checkpointed(texts.withColumn("words", F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x.getField("n"))))
+    lost = _found(texts, boilerplate(texts)).groupBy("_row").agg(F.sum("n").alias("n_lost_words"))
 
     measured = df.select(*[F.col(c).alias(f"_keep{k}") for k, c in enumerate(keep)], F.col(id_col).alias("_id"), row.alias("_row"), words(text).alias("_words"), *(c.alias(k) for k, c in _measures(text).items()))
     measured = measured.select("*", F.size("_words").cast("long").alias("n_words"), repeated_words(F.col("_words")).cast("long").alias("n_repeat_words")).drop("_words")
     judged = measured.join(lost, "_row", "left").withColumn("n_lost_words", F.coalesce("n_lost_words", F.lit(0)).cast("long"))
     failed = (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MOST_REPEATED)
-    depleted = (F.col("n_lost_words") > 0) & ((F.col("n_words") - F.col("n_lost_words") < LEAST_WORDS) | (F.col("n_lost_words") * 100 > F.col("n_words") * MOST_LOST))
+    depleted = _depleted(F.col("n_words"), F.col("n_lost_words"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lost_words")
     return judged.select(*[F.col(f"_keep{k}").alias(c) for k, c in enumerate(keep)], *([] if id_col in keep else [F.col("_id").alias(id_col)]), *names, failed.alias("base_failed"), (~failed & ~depleted).alias("kept"))
 

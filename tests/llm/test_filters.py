@@ -174,3 +174,20 @@ def test_embeddings(spark, monkeypatch, block):
     got = [(r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_duplicates(table).collect()]
     assert sorted(map(repr, got)) == sorted(map(repr, brute_vectors(rows)))
     assert embedding_duplicates(table.limit(0)).count() == 0
+
+
+def test_long_boilerplate_lines(make_docs):
+    rng = random.Random(6)
+    body = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    notice = "This site uses cookies " + body(26)
+    rows = [(k, f"{notice}\n{body(40)}", "a") for k in range(40)]
+    rows += [(100 + k, f"{notice}\n{body(3)}", "a") for k in range(3)]  # depleted
+    rows += [(200 + k, f"{notice}\n{body(3)}", "b") for k in range(3)]  # a host where the line is rare
+    paragraphs = [body(30) for _ in range(5)]
+    for k in range(60):  # near copies, each with another word in one paragraph
+        own = list(paragraphs)
+        own[k % 5] = own[k % 5].rsplit(" ", 1)[0] + f" x{k}"
+        rows.append((300 + k, "\n".join(own), "a"))
+    got = {r.doc_id: r for r in quality.quality_rules(make_docs(rows)).collect()}
+    assert all(got[k].kept and got[k].n_lost_words == 30 for k in range(40))
+    assert not any(got[100 + k].kept for k in range(3)) and all(got[200 + k].kept for k in range(3)) and all(got[300 + k].kept and not got[300 + k].n_lost_words for k in range(60))
