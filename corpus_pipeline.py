@@ -34,10 +34,10 @@ def _without(docs: DataFrame, rejected: DataFrame, key: str) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep, unchanged. A document is known by its id, host and text."""
-    row = F.xxhash64("doc_id", "source", "text")
-    judged = quality_rules(docs.withColumn("_doc", row), keep=("_doc",))
-    return _without(docs.withColumn("_doc", row), judged.where(~F.col("kept")), "_doc").select(*COLUMNS)
+    """Documents that the quality rules keep, without their boilerplate lines."""
+    judged = quality_rules(docs, keep=("doc_id", "lang", "source", "n_chars"), cleaned_col="text").where("kept")
+    size = F.when(F.col("n_lost_words") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    return judged.withColumn("n_chars", size).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,7 +3,8 @@
 Base measures are taken from each whole text in place, without a shuffle. Then
 lines are normalised and hashed, and for every host the distinct texts that
 hold a line are counted; a line in too many of them is boilerplate. A document
-that is left with too little once its boilerplate lines are gone is rejected.
+that is left with too little once its boilerplate lines are gone is rejected,
+and the text without them can be returned.
 
 Copies of one text on one host count once. Lines of every length are counted;
 those of more than LINE_WORDS words are often paragraphs of near copies, so of
@@ -32,8 +33,8 @@ LINE_TEXTS, LINE_PERCENT = 20, 1
 #: A document that loses more than this percentage of its words, or falls under LEAST_WORDS, is depleted.
 MOST_LOST = 60
 SALTS = 16
-#: Boilerplate lines that are broadcast; more are joined by a shuffle.
-BROADCAST_LINES = 100_000
+#: Boilerplate lines, and texts that hold them, that are broadcast; more are joined by a shuffle.
+BROADCAST_LINES, BROADCAST_TEXTS = 100_000, 200_000
 
 _SPACE = r"[\x20\x09-\x0D]+"
 #: White space within a line.
@@ -125,7 +126,7 @@ def boilerplate(texts: DataFrame) -> DataFrame:
     return checkpointed(sure.union(groups.where(F.col("found") * 100 > F.col("texts") * LINE_PERCENT).select("host", "line")))
 
 
-def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
+def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", keep: tuple[str, ...] = (), cleaned_col: str | None = None) -> DataFrame:
     """Measure and judge every whole text.
 
     Returns (keep..., id, n_words, word_chars, n_symbols, n_dup_lines,
@@ -133,7 +134,9 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     each row in. A null text counts as empty and fails the base rules; a null
     host is a host of its own; ids may be null or repeated; columns of df that
     are not named are not read. keep names further columns to return.
-    The lines' hashes go to the shared checkpoint folder in eager steps.
+    cleaned_col names a last column for the text without its boilerplate lines
+    (null stays null); the measures are those of the text as it came. The
+    lines' hashes go to the shared checkpoint folder in eager steps.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     host = F.coalesce(F.col(host_col).cast("string"), F.lit(""))
@@ -142,15 +145,23 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # equal texts of a host get equal answers, so each is asked once
     texts = docs.groupBy("_row").agg(F.first("host").alias("host"), F.first("lines").alias("lines"))
     texts = checkpointed(texts.withColumn("words", F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x.getField("n"))))
-    lost = _found(texts, boilerplate(texts)).groupBy("_row").agg(F.sum("n").alias("n_lost_words"))
+    lost = _found(texts, boilerplate(texts)).groupBy("_row").agg(F.sum("n").alias("n_lost_words"), *([F.collect_set("line").alias("_gone")] if cleaned_col else []))
+    if cleaned_col:
+        # texts are not to be shuffled for the few that lose lines
+        lost = checkpointed(lost)
+        lost = F.broadcast(lost) if lost.count() <= BROADCAST_TEXTS else lost
 
-    measured = df.select(*[F.col(c).alias(f"_keep{k}") for k, c in enumerate(keep)], F.col(id_col).alias("_id"), row.alias("_row"), words(text).alias("_words"), *(c.alias(k) for k, c in _measures(text).items()))
+    measured = df.select(*[F.col(c).alias(f"_keep{k}") for k, c in enumerate(keep)], F.col(id_col).alias("_id"), row.alias("_row"), *([F.col(text_col).cast("string").alias("_text")] if cleaned_col else []), words(text).alias("_words"), *(c.alias(k) for k, c in _measures(text).items()))
     measured = measured.select("*", F.size("_words").cast("long").alias("n_words"), repeated_words(F.col("_words")).cast("long").alias("n_repeat_words")).drop("_words")
     judged = measured.join(lost, "_row", "left").withColumn("n_lost_words", F.coalesce("n_lost_words", F.lit(0)).cast("long"))
     failed = (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MOST_REPEATED)
     depleted = _depleted(F.col("n_words"), F.col("n_lost_words"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lost_words")
-    return judged.select(*[F.col(f"_keep{k}").alias(c) for k, c in enumerate(keep)], *([] if id_col in keep else [F.col("_id").alias(id_col)]), *names, failed.alias("base_failed"), (~failed & ~depleted).alias("kept"))
+    cleaned = []
+    if cleaned_col:
+        left = F.filter(F.split("_text", "\n"), lambda line: ~F.array_contains("_gone", F.xxhash64(normal(line))))
+        cleaned = [F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(F.array_join(left, "\n")).alias(cleaned_col)]
+    return judged.select(*[F.col(f"_keep{k}").alias(c) for k, c in enumerate(keep)], *([] if id_col in keep else [F.col("_id").alias(id_col)]), *names, failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), *cleaned)
 
 
 #: The same rows in DuckDB's SQL; lines are compared as texts instead of by hash.

@@ -191,3 +191,17 @@ def test_long_boilerplate_lines(make_docs):
     got = {r.doc_id: r for r in quality.quality_rules(make_docs(rows)).collect()}
     assert all(got[k].kept and got[k].n_lost_words == 30 for k in range(40))
     assert not any(got[100 + k].kept for k in range(3)) and all(got[200 + k].kept for k in range(3)) and all(got[300 + k].kept and not got[300 + k].n_lost_words for k in range(60))
+
+
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_boilerplate_lines_are_removed(make_docs, monkeypatch, most):
+    monkeypatch.setattr(quality, "BROADCAST_LINES", most)
+    monkeypatch.setattr(quality, "BROADCAST_TEXTS", most)
+    line = "All rights reserved, edition of 2020"
+    name = lambda k: "".join(chr(97 + int(c)) for c in str(k))
+    own = {k: " ".join(f"w{name(k)}x{name(j)}" for j in range(40)) for k in range(40)}
+    rows = [(k, f" {line.upper()}\r\n{t}\n\nend {name(k)} x\n{line}", "a") for k, t in own.items()] + [(50, own[3], "a"), (51, None, "a")]
+    got = quality.quality_rules(make_docs(rows), cleaned_col="text")
+    assert native(got)
+    found = {r.doc_id: (r.text, r.n_lost_words) for r in got.collect()}
+    assert found == {k: (f"{t}\n\nend {name(k)} x", 12) for k, t in own.items()} | {50: (own[3], 0), 51: (None, 0)}
