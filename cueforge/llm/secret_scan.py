@@ -32,7 +32,8 @@ BESIDE = 40
 REDACTED = "[REDACTED]"
 
 # What a candidate may be written with, and how short it may be.
-CANDIDATE = r"[A-Za-z0-9+/_=.\-]{16,}"
+# An equals sign is part of one as padding only, so that a key's name before it is not.
+CANDIDATE = r"[A-Za-z0-9+/_.\-]{16,}+(?:={1,2}(?![A-Za-z0-9+/_.=\-$]|[\"'][^\s,;)}\]]))?"
 # Words that stand beside secrets, and beside other long runs.
 SECRET_WORDS = ("token", "secret", "passw", "pwd", "apikey", "api_key", "api-key", "access", "private", "credential", "bearer", "auth")
 OTHER_WORDS = ("sha", "md5", "checksum", "digest", "commit", "hash", "uuid", "guid", "version", "build", "card", "phone", "mail", "http", "www", "id=", "isbn", "example", "serial")
@@ -52,19 +53,20 @@ def _features(token: Column, before: Column, after: Column) -> list[Column]:
         share("[0-9]"),
         F.char_length(classes) / size,
         (size - F.char_length(F.regexp_replace(F.lower(token), "|".join(COMMON), ""))) / size,
-        F.when(token.rlike(r"[/.].*[/.]") | before.rlike(r"(?:://|[@\\])[^\s]*$"), 1.0).otherwise(0.0),
+        F.when(token.rlike(r"[/.].*[/.]") | before.rlike(r"(?:://|[@\\])[^\s?#]*$"), 1.0).otherwise(0.0),
         has(SECRET_WORDS),
         has(OTHER_WORDS),
-        F.when(before.rlike(r"[=:]\s*[\"']?$") & after.rlike(r"^(?:[\"',;\s!]|$)"), 1.0).otherwise(0.0),
+        F.when(before.rlike(r"[=:]\s*[\"']?$") & after.rlike(r"^(?:[\"',;\s!&#)}\]<`]|$)"), 1.0).otherwise(0.0),
     ]
 
 
 def labelled_findings(n: int = LABELLED, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """n labelled findings as feature rows and labels, drawn from the forms that keys and other long runs have.
 
-    Half are keys (hexadecimal, base64, prefixed, of 20 to 64 characters, nearly
-    all assigned or beside a secret word); half are digests, identifiers,
-    numbers, paths, addresses and joined words.
+    Half are keys (hexadecimal, base64, of letters, prefixed, of 20 to 64 characters, nearly
+    all assigned or beside a secret word, some in the query of an address); half
+    are digests, identifiers, numbers, paths, addresses, joined and long words
+    and names, which stand beside secret words and assignments more often.
     """
     rng = random.Random(seed)
     pick = lambda chars, k: "".join(rng.choices(chars, k=k))
@@ -73,26 +75,36 @@ def labelled_findings(n: int = LABELLED, seed: int = 7) -> tuple[np.ndarray, np.
     for i in range(n):
         secret = i % 2 == 0
         if secret:
-            token = rng.choice([lambda: pick(hexes, rng.choice((32, 40, 40, 40, 64))), lambda: pick(full, rng.randint(20, 44)), lambda: pick(full + "+/", 40), lambda: "AKIA" + pick(string.ascii_uppercase + string.digits, 16), lambda: rng.choice(("ghp_", "sk-", "xoxb-")) + pick(full, 36)])()
+            token = rng.choice([lambda: pick(hexes, rng.choice((32, 40, 40, 40, 64))), lambda: pick(full, rng.randint(20, 44)), lambda: pick(string.ascii_letters, rng.randint(20, 44)), lambda: pick(full + "+/", 40), lambda: "AKIA" + pick(string.ascii_uppercase + string.digits, 16), lambda: rng.choice(("ghp_", "sk-", "xoxb-")) + pick(full, 36)])()
             token = token.upper() if rng.random() < 0.1 else token
             words, other, assigned = rng.random() < 0.93, rng.random() < 0.03, rng.random() < 0.93
             assigned = assigned or not words
-            path = 0
+            if rng.random() < 0.1:
+                words = other = assigned = True  # ?api_key=... of an address
+            path = int(re.search("[/.].*[/.]", token) is not None)
         else:
             token = rng.choice([
                 lambda: pick(hexes, rng.choice((32, 40, 64))), lambda: pick(string.digits, rng.randint(16, 19)), lambda: "-".join(pick(hexes, k) for k in (8, 4, 4, 4, 12)),
                 lambda: "".join(rng.choices(COMMON, k=rng.randint(5, 9))), lambda: "/".join("".join(rng.choices(COMMON, k=2)) for _ in range(rng.randint(3, 6))), lambda: "".join(rng.choices(COMMON, k=3)) + f".{rng.randint(1, 99)}", lambda: rng.choice("=-_.") * rng.randint(16, 60),
+                lambda: _name(rng), lambda: "".join(rng.choice("bcdfghlmnprstvz") + rng.choice(("a", "e", "i", "o", "u", "er", "an")) for _ in range(rng.randint(7, 12))),
             ])()
-            words, assigned = rng.random() < 0.04, rng.random() < 0.15
+            named = re.fullmatch("[A-Za-z_]+", token) is not None
+            words, assigned = rng.random() < (0.3 if named else 0.04), rng.random() < (0.3 if named else 0.15)
             other = rng.random() < 0.6
             path = int("/" in token or rng.random() < 0.1)
-            assigned = assigned and not words
+            assigned = assigned and (named or not words)
         rows.append((*_token_features(token), path, int(words), int(other), int(assigned)))
         labels.append(secret)
     x = np.array(rows, float)
     return x, np.array(labels, bool)
 
 
+def _name(rng: random.Random) -> str:
+    """The name of a variable or a setting."""
+    parts = rng.choices((*COMMON, "token", "secret", "password", "api", "key", "access", "private", "client", "auth"), k=rng.randint(4, 6))
+    return rng.choice((lambda: "_".join(parts), lambda: "_".join(parts).upper(), lambda: "".join(x.title() for x in parts)))()
+
+
 def _token_features(token: str) -> tuple[float, ...]:
     size = len(token)
     classes = re.sub("[0-9]+", "0", re.sub("[a-z]+", "l", re.sub("[A-Z]+", "U", token)))
@@ -156,7 +168,7 @@ def _case(tree: float | tuple, row: Column) -> Column:
 def _judged(text: Column, forest: tuple) -> Column:
     """The candidates of a text, each once, as (value, at, features, score); at is its first place, from 1."""
     found = F.array_distinct(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)))
-    found = F.filter(found, lambda x: x.rlike("[0-9]") & x.rlike("[A-Za-z0-9]{8}"))
+    found = F.filter(found, lambda x: x.rlike("[A-Za-z0-9]{8}"))
     placed = F.transform(found, lambda x: F.struct(x.alias("value"), F.position(x, text).alias("at")))
 
     def described(c: Column) -> Column:

@@ -205,3 +205,15 @@ def test_boilerplate_lines_are_removed(make_docs, monkeypatch, most):
     assert native(got)
     found = {r.doc_id: (r.text, r.n_lost_words) for r in got.collect()}
     assert found == {k: (f"{t}\n\nend {name(k)} x", 12) for k, t in own.items()} | {50: (own[3], 0), 51: (None, 0)}
+
+
+def test_secrets_after_an_equals_sign(make_docs):
+    hexes, mixed, letters = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "wJalrXUtnFEMI4K7MDENGbPxRfiCYzEXAMqLEKEY", "qWmRzKxTbVnPLdHsYcGj"
+    forms = ["TOKEN={}", "AWS_SECRET_ACCESS_KEY={}", "export API_TOKEN={}\nmore", "see https://x.io/cb?api_key={}&page=2 now", "password={};", "client_secret={}"]
+    rows = [(10 * k + j, form.format(key)) for k, form in enumerate(forms) for j, key in enumerate((hexes, mixed, letters))]
+    plain = ["the internationalization of bureaucratically", "token = my_secret_access_token_name", "AWS_SECRET_ACCESS_KEY= none", "=" * 40, "sha=da39a3ee5e6b4b0d3255bfef95601890afd80709", "https://x.io/a/b/c?page=12345678901234567890"]
+    rows += [(900 + k, t) for k, t in enumerate(plain)]
+    rows.append((999, f'secret = "{mixed}=="'))
+    got = {r.doc_id: r.redacted for r in secret_scan.secret_scan(make_docs(rows)).collect()}
+    assert {10 * k + j: got[10 * k + j] for k in range(len(forms)) for j in range(3)} == {10 * k + j: form.format(secret_scan.REDACTED) for k, form in enumerate(forms) for j in range(3)}
+    assert [got[900 + k] for k in range(len(plain))] == plain and got[999] == f'secret = "{secret_scan.REDACTED}"'
