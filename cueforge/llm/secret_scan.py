@@ -165,21 +165,33 @@ def _case(tree: float | tuple, row: Column) -> Column:
     return F.when(row.getItem(f) <= bound, _case(low, row)).otherwise(_case(high, row))
 
 
-def _judged(text: Column, forest: tuple) -> Column:
-    """The candidates of a text, each once, as (value, at, features, score); at is its first place, from 1."""
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)))
-    found = F.filter(found, lambda x: x.rlike("[A-Za-z0-9]{8}"))
-    placed = F.transform(found, lambda x: F.struct(x.alias("value"), F.position(x, text).alias("at")))
+#: A candidate with the characters before and after it; the first lookahead leaves most places early.
+_PLACED = rf"(?=[A-Za-z0-9+/_.\-]{{16}})(?<=(\A[\s\S]{{0,{BESIDE - 1}}}|[\s\S]{{{BESIDE}}}))({CANDIDATE})(?=([\s\S]{{0,{BESIDE}}}))"
+
 
-    def described(c: Column) -> Column:
-        value, at = c.getField("value"), c.getField("at")
-        start = F.greatest(at - BESIDE, F.lit(1))
-        before, after = F.substring(text, start, at - start), F.substring(text, at + F.char_length(value), F.lit(BESIDE))
-        return F.struct(value.alias("value"), at.alias("at"), F.array(*_features(value, before, after)).alias("features"))
+def _judged(text: Column, forest: tuple) -> Column:
+    """The candidates of a text, each once, as (value, at, features, score).
 
+    Every occurrence is described by what stands beside it; a value has the
+    features and score of its highest one. at is the value's first place in
+    the text, from 1.
+    """
+    before, value, after = (F.regexp_extract_all(text, F.lit(_PLACED), F.lit(k)) for k in (1, 2, 3))
+    found = F.arrays_zip(before.alias("before"), value.alias("value"), after.alias("after"))
+    found = F.filter(found, lambda x: x.getField("value").rlike("[A-Za-z0-9]{8}"))
+    described = F.transform(found, lambda c: F.struct(c.getField("value").alias("value"), F.array(*_features(c.getField("value"), c.getField("before"), c.getField("after"))).alias("features")))
     total = lambda row: sum((_case(t, row) for t in forest), F.lit(0.0)) * 100 / len(forest)
-    scored = F.transform(F.transform(placed, described), lambda c: F.struct(c.getField("value").alias("value"), c.getField("at").alias("at"), c.getField("features").alias("features"), total(c.getField("features")).alias("score")))
-    return scored
+    # the highest of a value comes first
+    scored = F.transform(described, lambda c: F.struct(c.getField("value").alias("value"), (-total(c.getField("features"))).alias("low"), c.getField("features").alias("features")))
+
+    def first(s: Column) -> Column:
+        # a null before the first
+        best = F.filter(s, lambda x, k: ~x.getField("value").eqNullSafe(F.get(s, k - 1).getField("value")))
+        placed = F.transform(best, lambda x: F.struct(F.position(x.getField("value"), text).alias("at"), x.alias("x")))
+        return F.transform(F.array_sort(placed), lambda c: F.struct(c.getField("x").getField("value").alias("value"), c.getField("at").alias("at"), c.getField("x").getField("features").alias("features"), (-c.getField("x").getField("low")).alias("score")))
+
+    # a one-element array binds a value once
+    return F.get(F.transform(F.array(F.array_sort(scored)), first), F.lit(0))
 
 
 def secret_scan(df: DataFrame, text_col: str = "text", forest: tuple | None = None) -> DataFrame:

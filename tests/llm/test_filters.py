@@ -217,3 +217,14 @@ def test_secrets_after_an_equals_sign(make_docs):
     got = {r.doc_id: r.redacted for r in secret_scan.secret_scan(make_docs(rows)).collect()}
     assert {10 * k + j: got[10 * k + j] for k in range(len(forms)) for j in range(3)} == {10 * k + j: form.format(secret_scan.REDACTED) for k, form in enumerate(forms) for j in range(3)}
     assert [got[900 + k] for k in range(len(plain))] == plain and got[999] == f'secret = "{secret_scan.REDACTED}"'
+
+
+def test_every_occurrence_of_a_secret_is_judged(make_docs):
+    key = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    far = "some words of a text " * 20
+    rows = [(1, f'commit sha {key} was merged. {far} token = "{key}" end'), (2, f"sha {key}0123456789abcdef {far} token = {key}"), (3, f"commit sha {key} {far} commit sha {key}"), (4, f"é😀 {key} {far}" * 300 + f'token = "{key}"')]
+    scanned = secret_scan.secret_scan(make_docs(rows))
+    assert native(scanned)
+    got = {r.doc_id: (r.redacted, [c.value for c in r.candidates]) for r in scanned.collect()}
+    assert all(got[i] == (t.replace(key, secret_scan.REDACTED), [key]) for i, t in rows if i in (1, 4)) and got[3][0] == rows[2][1]
+    assert got[2][0].endswith(f"token = {secret_scan.REDACTED}")
