@@ -41,8 +41,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id."""
-    return _without(docs, near_duplicates(docs).where(~F.col("kept")), "doc_id").select(*COLUMNS)
+    """One document of each group of near copies: one with the smallest id, whether or not ids are null or repeated.
+
+    A document is known by a hash of its columns. Of equal rows, one is taken;
+    documents without shingles are no copies, and all stay.
+    """
+    docs = docs.withColumn("_doc", F.xxhash64(*COLUMNS))
+    found = checkpointed(near_duplicates(docs, row_col="_doc").select("_doc", "n_shingles", "kept"))
+    equal = checkpointed(found.where("kept and n_shingles > 0").groupBy("_doc").agg(F.count("*").alias("rows")).where("rows > 1").select("_doc"))
+    left = _without(docs, found.where("not kept").select("_doc").union(equal), "_doc").select(*COLUMNS)
+    n = equal.count()
+    if not n:
+        return left
+    once = docs.join(F.broadcast(equal) if n <= BROADCAST_IDS else equal, "_doc", "left_semi").dropDuplicates(["_doc"])
+    return left.unionByName(once.select(*COLUMNS))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -130,7 +130,7 @@ def _texts(rows: DataFrame, keys: DataFrame) -> DataFrame:
     return found.groupBy("cls").agg(F.first("text").alias("text")) if not few else found.dropDuplicates(["cls"]).select("cls", "text")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, row_col: str | None = None) -> DataFrame:
     """Group documents whose sets of word shingles (of shingle words each) have 100 * intersection >= percent * union, links being transitive.
 
     Returns (id, n_shingles long, component_id, kept boolean), one row for each
@@ -138,7 +138,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     document. Null, empty and blank texts have no shingles and are alone.
     Repeated rows share a component, and all rows of its smallest id are kept.
     A null id never names a component unless all its members are null; kept is
-    then true. Other columns of df are not read. Works in eager steps that
+    then true. row_col names a column of longs that tells rows apart: it is
+    returned as well, and kept marks the rows of one value of it in a component,
+    the least of the smallest id (a null id comes last), and rows without
+    shingles. Other columns of df are not read. Works in eager steps that
     write to the shared checkpoint folder.
     """
     kind = df.schema[id_col].dataType.simpleString()
@@ -150,11 +153,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 size, whole, bands, low = signatures(part.column(2), shingle)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(size, pa.int64()), pa.array(whole.view(np.int64)), _listed(bands), _listed(low)], names=["row", "id", "n", "cls", "bands", "low"])
 
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.select(F.xxhash64("id", "text").alias("row"), "id", "text")
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *([F.col(row_col).alias("row")] if row_col else []))
+    rows = rows.select((F.col("row") if row_col else F.xxhash64("id", "text")).alias("row"), "id", "text")
     signed = checkpointed(rows.mapInArrow(sign, f"row long, id {kind}, n long, cls long, bands array<long>, low array<long>"))
+    first = F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("row").alias("row"))
     # one row for each distinct set
-    least = signed.where("n > 0").groupBy("cls").agg(F.min("id").alias("id"), F.min("row").alias("row"), F.max("n").alias("n"), F.first("bands").alias("bands"), F.first("low").alias("low"))
+    least = signed.where("n > 0").groupBy("cls").agg(F.min("id").alias("id"), F.min(first).alias("first"), F.min("row").alias("row"), F.max("n").alias("n"), F.first("bands").alias("bands"), F.first("low").alias("low"))
     classes = checkpointed(least)
     buckets = classes.select("cls", F.posexplode("bands").alias("band", "key"))
     shared = buckets.groupBy("key").agg(F.min("cls").alias("leader"), F.count("*").alias("m")).where("m > 1")
@@ -203,12 +207,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     more = checkpointed(tasks.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long"))
     if not more.isEmpty():
         groups = components(links.union(more))
-    named = classes.select("cls", "id").join(groups.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    least = named.groupBy("component").agg(F.min("id").alias("component_id"))
-    named = named.join(least, "component").select("cls", "component_id")
-    out = signed.select("id", "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls")).join(named, "cls", "left")
+    named = classes.select("cls", "id", "first").join(groups.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    least = named.groupBy("component").agg(F.min("id").alias("component_id"), F.min("first").getField("row").alias("first_row"))
+    named = named.join(least, "component").select("cls", "component_id", "first_row")
+    out = signed.select("id", "n", "row", F.when(F.col("n") > 0, F.col("cls")).alias("cls")).join(named, "cls", "left")
     named_id = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), named_id.alias("component_id"), F.col("id").eqNullSafe(named_id).alias("kept"))
+    kept = F.coalesce(F.col("row") == F.col("first_row"), F.lit(True)) if row_col else F.col("id").eqNullSafe(named_id)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), named_id.alias("component_id"), kept.alias("kept"), *([F.col("row").alias(row_col)] if row_col else []))
 
 
 def _split(batch: pa.RecordBatch, *text: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:

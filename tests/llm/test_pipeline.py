@@ -64,3 +64,19 @@ def test_whole_run_and_queries(spark):
     columns = {q: driver.queries()[q](spark, SMALL).columns for q in names}
     assert columns[names[0]] == ["page_id", "url", "text", "n_chars"] and columns[names[9]] == ["doc_id", "n_bytes", "n_tokens", "over_limit"]
     assert driver.queries()[names[5]](spark, SMALL).agg(F.sum("n_findings")).first()[0] >= 0
+
+
+def test_one_document_of_each_group_of_copies(spark):
+    row = lambda i, k, lang="en": (i, good(k), lang, "s", len(good(k)))
+    rows = [row(3, 1), row(7, 1), row(7, 2), *[row(8, 3)] * 3, row(9, 3), row(None, 4), row(None, 4), row(None, 4, "de"), row(None, 5), row(4, 5), row(8, 6), (8, good(6) + " more", "en", "s", 1), (10, "", "en", "s", 0), (10, "", "en", "s", 0)]
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), SMALL)
+    found = sorted((str(r.doc_id), (r.text or "").split(" ")[0]) for r in got.collect())
+    assert got.columns == COLUMNS and found == sorted([("3", "w1x0"), ("7", "w2x0"), ("8", "w3x0"), ("None", "w4x0"), ("4", "w5x0"), ("8", "w6x0"), ("10", ""), ("10", "")])
+
+
+def test_quality_stage_removes_boilerplate_lines(spark):
+    name = lambda k: "".join(chr(97 + int(c)) for c in str(k))
+    own = {k: " ".join(f"w{name(k)}x{name(j)}" for j in range(40)) for k in range(30)}
+    rows = [(k, f"All rights reserved\n{t}", "en", "s", 1) for k, t in own.items()] + [(50, own[2], "en", "s", 7)]
+    got = corpus_pipeline.quality(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), SMALL)
+    assert got.columns == COLUMNS and {r.doc_id: (r.text, r.n_chars) for r in got.collect()} == {k: (t, len(t)) for k, t in own.items()} | {50: (own[2], 7)}
