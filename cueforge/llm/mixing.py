@@ -1,9 +1,10 @@
 """Mixing sources to target weights by temperature, realised as budgeted block permutations.
 
 A source's share p of all tokens becomes the weight p**a / sum(p**a). The
-exponent a between 0 (equal weights) and 1 (the shares as they are) is bisected
-until the weights have a target entropy, or until no source is repeated more
-often than a limit. A source's budget is its weight of the total budget; it is
+exponent a (0 gives equal weights, 1 the shares as they are, more than 1 larger
+weights to large sources) is bracketed and bisected until the weights have a
+target entropy, or bisected in [0, 1] until no source is repeated more often
+than a limit. An entropy that no exponent gives is an error. A source's budget is its weight of the total budget; it is
 spent in whole passes over the source's documents and one last pass that ends
 where the budget does. Every pass permutes the blocks of a source, and the
 documents inside each block, by seeded hashes.
@@ -29,6 +30,8 @@ from cueforge.llm.quality import words
 BLOCK = 4096
 #: Exponents tried in one aggregation, and aggregations; the exponent is found to GRID**-ROUNDS.
 GRID, ROUNDS = 64, 3
+#: The largest exponent that is tried for an entropy.
+MOST_EXPONENT = 1024.0
 #: Sources that are broadcast; more are joined by a shuffle.
 BROADCAST_SOURCES = 100_000
 
@@ -40,12 +43,29 @@ def _sums(totals: DataFrame, exponents: list[float]) -> list[tuple[float, float]
     return [(float(row[2 * k] or 0), float(row[2 * k + 1] or 0)) for k in range(len(exponents))]
 
 
-def entropy_exponent(totals: DataFrame, target: float) -> float:
-    """The exponent at which the weights' entropy (in nats) is target; 0 or 1 where it lies outside. totals: share > 0."""
-    low, high = 0.0, 1.0
+def _entropies(totals: DataFrame, exponents: list[float]) -> list[float]:
+    return [math.log(z) - a * s / z if z else 0.0 for a, (z, s) in zip(exponents, _sums(totals, exponents), strict=True)]
+
+
+def reached_exponent(totals: DataFrame, target: float) -> float:
+    """The exponent at which the weights' entropy (in nats) is target, or a ValueError. totals: share > 0, not empty."""
+    # shares relative to the largest do not vanish at large exponents, and give the same weights
+    totals = totals.withColumn("share", F.col("share") / F.lit(float(totals.agg(F.max("share")).first()[0])))
+    tried = [0.0, *(2.0**k for k in range(int(math.log2(MOST_EXPONENT)) + 1))]
+    found = _entropies(totals, tried)
+    if abs(found[0] - target) < 1e-9:
+        return 0.0
+    if not found[-1] <= target <= found[0]:
+        raise ValueError(f"an entropy of {target:g} nats cannot be reached: exponents give {found[-1]:g} to {found[0]:g}")
+    k = next(k for k, h in enumerate(found) if h <= target)
+    return entropy_exponent(totals, target, tried[k - 1], tried[k])
+
+
+def entropy_exponent(totals: DataFrame, target: float, low: float = 0.0, high: float = 1.0) -> float:
+    """The exponent in [low, high] at which the weights' entropy (in nats) is target; an end where it lies outside. totals: share > 0."""
     for _ in range(ROUNDS):
         tried = [low + (high - low) * k / GRID for k in range(GRID + 1)]
-        entropy = [math.log(z) - a * s / z if z else 0.0 for a, (z, s) in zip(tried, _sums(totals, tried), strict=True)]
+        entropy = _entropies(totals, tried)
         # entropy falls as the exponent rises
         k = sum(h >= target for h in entropy)
         if k in (0, GRID + 1):
@@ -69,10 +89,12 @@ def _tokens(text: Column) -> Column:
     return F.size(words(F.coalesce(text.cast("string"), F.lit("")))).cast("long")
 
 
-def mix_sources(df: DataFrame, source_col: str = "source", text_col: str = "text", entropy: float | None = None, repetitions: float | None = None, budget: int | None = None, seed: int = 17, tokens: Column | None = None) -> DataFrame:
+def mix_sources(df: DataFrame, source_col: str = "source", text_col: str = "text", entropy: float | None = None, repetitions: float | None = None, evenness: float | None = None, budget: int | None = None, seed: int = 17, tokens: Column | None = None) -> DataFrame:
     """The rows of df as often as the mixture takes them, with mix_epoch int, mix_block and mix_place long.
 
-    Exactly one of entropy (nats) and repetitions sets the exponent. budget is
+    Exactly one of entropy (nats), evenness (entropy as a part of the logarithm
+    of the number of sources with tokens) and repetitions sets the exponent; an
+    entropy that cannot be reached raises a ValueError. budget is
     the total in tokens; by default it is the least that passes over every
     source once or more. Sorted by mix_epoch, mix_block, mix_place a source is
     in the order of its block permutations. tokens (an expression) defaults to
@@ -84,8 +106,8 @@ def mix_sources(df: DataFrame, source_col: str = "source", text_col: str = "text
     so a last pass may end early by their size. An empty table stays empty.
     Columns of df that bear a new name are replaced.
     """
-    if (entropy is None) == (repetitions is None):
-        raise ValueError("give either entropy or repetitions")
+    if sum(x is not None for x in (entropy, evenness, repetitions)) != 1:
+        raise ValueError("give one of entropy, evenness and repetitions")
     source = F.coalesce(F.col(source_col).cast("string"), F.lit("\x00"))
     new = ("_source", "_tokens", "_row", "mix_epoch", "mix_block", "mix_place")
     plain = [c for c in df.columns if c not in new]
@@ -93,14 +115,23 @@ def mix_sources(df: DataFrame, source_col: str = "source", text_col: str = "text
     # what is needed of each document to place the budget, counted once
     sized = checkpointed(docs.select("_source", "_tokens", "_row"))
     totals = checkpointed(sized.groupBy("_source").agg(F.sum("_tokens").alias("total"), F.count("*").alias("docs")))
-    whole = totals.agg(F.sum("total").alias("t"), F.min(F.when(F.col("total") > 0, F.col("total"))).alias("least"), F.max("total").alias("most"), F.count("*").alias("n")).first()
+    whole = totals.agg(F.sum("total").alias("t"), F.min(F.when(F.col("total") > 0, F.col("total"))).alias("least"), F.max("total").alias("most"), F.count("*").alias("n"), F.count(F.when(F.col("total") > 0, 1)).alias("filled")).first()
     all_tokens = int(whole["t"] or 0)
     shares = totals.where("total > 0").withColumn("share", F.col("total") / F.lit(float(max(1, all_tokens))))
-    a = entropy_exponent(shares, entropy) if entropy is not None else repetition_exponent(whole["least"] or 0, whole["most"] or 0, repetitions)
-    z = _sums(shares, [a])[0][0] or 1.0
-    share = F.col("total") / F.lit(float(max(1, all_tokens)))
-    # with exponents up to 1 the largest source is the one that is passed least often
-    size = float(budget) if budget is not None else (whole["most"] or 0) / ((whole["most"] or 1) / max(1, all_tokens)) ** a * z
+    if evenness is not None:
+        entropy = evenness * math.log(max(1, whole["filled"]))
+    if not all_tokens:
+        a = 1.0
+    elif entropy is not None:
+        a = reached_exponent(shares, entropy)
+    else:
+        a = repetition_exponent(whole["least"] or 0, whole["most"] or 0, repetitions)
+    # relative to the largest source, so that no power vanishes at large exponents
+    share = F.col("total") / F.lit(float(whole["most"] or 1))
+    z = _sums(totals.where("total > 0").withColumn("share", share), [a])[0][0] or 1.0
+    # the source that is passed least often: the largest with exponents up to 1, else the smallest
+    rarest = whole["most"] if a <= 1 else whole["least"]
+    size = float(budget) if budget is not None else (rarest or 0) / ((rarest or 1) / (whole["most"] or 1)) ** a * z
     spent = totals.withColumn("weight", F.when(F.col("total") > 0, F.pow(share, F.lit(a)) / F.lit(z)).otherwise(0.0))
     # the tolerance keeps a budget that is meant to be whole passes from missing the last token
     spent = spent.withColumn("budget", F.floor(F.col("weight") * F.lit(size) * F.lit(1 + 1e-12) + F.lit(1e-6)).cast("long"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import public_tokenizers
@@ -23,8 +24,8 @@ from cueforge.llm.token_count import token_counts
 
 #: A document of more tokens than this does not fit the context.
 TOKEN_LIMIT = 2048
-#: Entropy of the source weights, in nats.
-MIX_ENTROPY = 2.9
+#: Entropy of the source weights, in nats, where there are MIX_SOURCES sources; with others, the same part of the most there can be.
+MIX_ENTROPY, MIX_SOURCES = 2.9, 20
 
 
 def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +67,7 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights of a set entropy, in the least budget that passes over every source once or more."""
-    mixed = mix_sources(read_table(spark, sf_dir, "documents"), entropy=MIX_ENTROPY)
+    mixed = mix_sources(read_table(spark, sf_dir, "documents"), evenness=MIX_ENTROPY / math.log(MIX_SOURCES))
     return mixed.select("doc_id", "source", "mix_epoch", "mix_block", "mix_place")
 
 

@@ -228,3 +228,19 @@ def test_every_occurrence_of_a_secret_is_judged(make_docs):
     got = {r.doc_id: (r.redacted, [c.value for c in r.candidates]) for r in scanned.collect()}
     assert all(got[i] == (t.replace(key, secret_scan.REDACTED), [key]) for i, t in rows if i in (1, 4)) and got[3][0] == rows[2][1]
     assert got[2][0].endswith(f"token = {secret_scan.REDACTED}")
+
+
+def test_entropies_outside_the_sources_own(make_docs):
+    sizes = {"a": 60, "b": 50, "c": 45, "d": 40}  # shares of an entropy of 1.376, near ln 4
+    docs = make_docs([(k, "w w w w", s) for s, n in sizes.items() for k in range(n)])
+
+    def entropy(**options):
+        taken = np.array([sum(n for _, _, n in x) for x in used(docs, **options).values()], float)
+        return -(taken / taken.sum() * np.log(taken / taken.sum())).sum()
+
+    assert entropy(entropy=1.3) == pytest.approx(1.3, abs=0.01) and entropy(evenness=0.9) == pytest.approx(0.9 * math.log(4), abs=0.01)
+    least = used(docs, entropy=1.3)
+    assert all({d for e, d, _ in least[s] if e == 0} == set(range(n)) for s, n in sizes.items()) and {e for e, _, _ in least["d"]} == {0}
+    with pytest.raises(ValueError, match="cannot be reached"):
+        mix_sources(docs, entropy=1.5)
+    assert mix_sources(make_docs([]), entropy=1.0).count() == 0
