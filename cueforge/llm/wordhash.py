@@ -1,9 +1,11 @@
 """Word and n-gram hashes of whole Arrow text columns, computed by numpy on the raw UTF-8 bytes.
 
-Words are ``[^\\x20\\x09-\\x0D]+``. A word's hash is a polynomial over a random
-table of byte values modulo 2**64, taken from one running sum over all bytes,
-then mixed; an n-gram's hash is the same over its words' hashes. No Python
-object is made for a word.
+Words are ``[^\\x20\\x09-\\x0D]+``. A word's hash is the sum modulo 2**64 of a
+random value for each of its bytes and the place in the word where it stands,
+then mixed. Values of different places have nothing to do with each other, so
+no structure of a word, however long, makes two words equal. An n-gram's hash
+is a polynomial over its words' hashes. Sums run over all bytes or words at
+once; no Python object is made for a word.
 """
 
 from __future__ import annotations
@@ -50,11 +52,19 @@ class Roller:
 
 #: Bytes that are hashed at a time.
 _PART = 1 << 19
-_BYTES = tuple(mix(np.arange(1 + 256 * k, 257 + 256 * k, dtype=np.uint64)) for k in range(2))
-_OF_BYTES = (Roller(0x5851F42D4C957F2D), Roller(0xD1342543DE82EF95))
+#: Places of a word whose values are kept in a table; those of later places are made when they are met.
+_PLACES = 64
 _OF_WORDS = (Roller(0x2545F4914F6CDD1D), Roller(0x9E3779B97F4A7C15))
 
 
+def _values(place: np.ndarray, byte: np.ndarray, which: int) -> np.ndarray:
+    """The random value of a byte at a place of a word, in one of two families."""
+    return mix((place.astype(np.uint64) << np.uint64(8)) + byte.astype(np.uint64) + np.uint64(1 + (which << 62)))
+
+
+_TABLES = tuple(_values(np.repeat(np.arange(_PLACES), 256), np.tile(np.arange(256), _PLACES), k) for k in range(2))
+
+
 @dataclass
 class Words:
     """The words of some texts: doc numbers the text, start and end are byte places in data."""
@@ -71,7 +81,14 @@ class Words:
         while a < len(out):  # in parts of bounded bytes, or of one long word
             at = self.start[a]
             b = max(a + 1, int(np.searchsorted(self.end, at + _PART, "right")))
-            out[a:b] = _OF_BYTES[which].windows(_BYTES[which][self.data[at : self.end[b - 1]]], self.start[a:b] - at, self.end[a:b] - at)
+            raw, start, end = self.data[at : self.end[b - 1]], self.start[a:b] - at, self.end[a:b] - at
+            place = np.arange(len(raw)) - np.repeat(start, np.diff(start, append=len(raw)))
+            value = _TABLES[which][(np.minimum(place, _PLACES - 1) << 8) | raw]
+            if len(late := np.flatnonzero(place >= _PLACES)):
+                value[late] = _values(place[late], raw[late], which)
+            total = np.zeros(len(raw) + 1, np.uint64)
+            np.cumsum(value, out=total[1:])
+            out[a:b] = mix(total[end] - total[start] + (end - start).astype(np.uint64))
             a = b
         return out
 
