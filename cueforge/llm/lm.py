@@ -1,24 +1,26 @@
 """Language-model scores from a weighted backoff automaton.
 
 The model is a bigram model with absolute discounting, interpolated with the
-additively smoothed word model, written as an automaton: a state for every
-word that training text continues, one for the start of a text and one empty
-state. Reading a word w in state u takes the arc (u, w) where training text
-has that pair, else the failure arc of u to the empty state, at its weight,
-and there the arc of w. Either way w's state comes next, so one traversal from
-left to right carries the state and adds up log-probabilities; over a chunk of
-documents numpy does it for all places at once.
+additively smoothed word model, written as an automaton: an empty state and a
+state for every word, the start of a text included. A state has an arc for
+each word that training text has after it, and a failure arc to the empty
+state, which has an arc for every word and one for all unknown words. An arc
+leads to the state of its word. A text is read from left to right: the state
+is carried, each word takes its arc, or the failure arc and then the empty
+state's arc, and the logarithms of the weights taken are added up.
 
   arc (u, w):     ((c(uw) - D) + D * t(u) * P(w)) / c(u)
-  failure of u:   D * t(u) / c(u)
+  failure of u:   D * t(u) / c(u); without cost where training text ends u
   arc of w:       P(w) = (c(w) + 0.1) / (N + 0.1 * (V + 1))
 
 t(u) is the number of distinct words after u. Each state's weights sum to 1
 over the V known words and one unknown.
 
 The automaton of a large corpus fits no machine. Every chunk of documents asks
-for the counts of its own pairs and words (see chunked) and builds the part of
-the automaton that its documents can reach; the weights are those of the whole.
+for the counts of its own pairs and words (see chunked) and builds the states
+and arcs that its documents can reach; the weights are those of the whole. As
+every arc of a word leads to that word's state, the states of all places of a
+chunk are known at once, and numpy reads all its texts together.
 """
 
 from __future__ import annotations
@@ -66,6 +68,43 @@ class _Reading:
         self.pair = mix(self.history * np.uint64(0x9E3779B97F4A7C15) + self.word * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
+class Automaton:
+    """States, arcs and failure arcs over ascending word hashes; words has START, whose state texts begin in.
+
+    State 0 is the empty state, state k + 1 that of words[k]. Weights are
+    log10 probabilities. joint are the counts of the pairs, count, uses and
+    after of each word: how often training text has it, has it as a history,
+    and the number of distinct words that follow it.
+    """
+
+    def __init__(self, words: np.ndarray, count: np.ndarray, uses: np.ndarray, after: np.ndarray, pairs: np.ndarray, joint: np.ndarray, tokens: int, types: int) -> None:
+        total = np.maximum(uses, 1).astype(np.float64)
+        share = np.where(uses > 0, DISCOUNT * after / total, 1.0)
+        self.known = count > 0
+        #: The empty state's arcs: a weight for each word, and the state that all arcs of the word lead to.
+        self.base = np.log10((count + ADDED) / (tokens + ADDED * (types + 1)))
+        self.target = np.arange(1, len(words) + 1)
+        self.start = int(np.searchsorted(words, START)) + 1
+        #: A failure arc for each state; that of the empty state is never taken.
+        self.failure = np.concatenate([[0.0], np.log10(share)])
+        #: The arcs of the other states: the number of an arc for each pair, or -1.
+        self.arc = np.where(joint > 0, np.cumsum(joint > 0) - 1, -1)
+        self.discounted = joint[joint > 0] - DISCOUNT
+        self.total, self.share = np.concatenate([[1.0], total]), np.concatenate([[1.0], share])
+
+    def read(self, word: np.ndarray, pair: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The weight that each token costs. word and pair number each token's word and pair, first are the places where texts begin."""
+        # a state is what the arc before it leads to
+        state = np.empty(len(word), np.int64)
+        state[1:] = self.target[word[:-1]]
+        state[first] = self.start
+        weight = self.failure[state] + self.base[word]
+        arc = self.arc[pair]
+        on = arc >= 0
+        weight[on] = np.log10(self.discounted[arc[on]] / self.total[state[on]] + self.share[state[on]] * 10.0 ** self.base[word[on]])
+        return weight
+
+
 def _pieces(buckets, chunk: int, keys: np.ndarray, **columns: np.ndarray) -> pa.Table:
     cut = buckets.cuts(keys).tolist()
     rows = [(b, i, j) for b, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if j > i]
@@ -99,7 +138,9 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hel
     (id, held_out, n_tokens, n_known, train_tokens, base_score, score); scores
     are log10 probabilities. Repeated rows each count and are scored each.
     Without any training text every word has probability 1 / (0.1 * 1) * 0.1 = 1
-    under the formulas, so all scores are 0. Other columns are not read.
+    under the formulas, so all scores are 0. An empty table gives an empty one.
+    Texts may be of any length; a task holds a chunk of texts, at least one.
+    Other columns are not read.
     """
     kind, id_type = df.schema[id_col].dataType.simpleString(), to_arrow_type(df.schema[id_col].dataType)
     chunks = Chunks(df, id_col, text_col, {"held": held_out(id_col) if held is None else F.coalesce(held, F.lit(False))})
@@ -156,23 +197,19 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hel
         read = _Reading(docs)
         known = right.filter(pa.compute.is_valid(right.column("tokens")))
         tokens, types = (known.column(n)[0].as_py() for n in ("tokens", "types"))
-        pairs, pair = np.unique(read.pair, return_inverse=True)
-        words, both = np.unique(np.concatenate([read.word, read.history]), return_inverse=True)
-        word, history = both[: len(read.word)], both[len(read.word) :]
+        pairs = np.unique(read.pair)
+        words = np.unique(np.concatenate([read.word, read.history]))
         pair_rows, word_rows = (right.filter(pa.compute.is_valid(right.column(n))) for n in ("pairs", "count"))
-        joint = (_answers(pair_rows, "pairs", buckets, pairs, np.uint32) & ~_MINE).astype(np.float64)[pair]
-        count, uses, after = (_answers(word_rows, n, buckets, words, np.uint64).astype(np.float64) for n in ("count", "uses", "after"))
-        base = np.log10((count + ADDED) / (tokens + ADDED * (types + 1)))
-        total = np.maximum(uses, 1)
-        # in states that training text never continues the failure arc costs nothing
-        failure = np.where(uses > 0, DISCOUNT * after / total, 1.0)
-        arc = np.log10(np.maximum(joint - DISCOUNT, 0) / total[history] + failure[history] * 10.0 ** base[word])
+        joint = _answers(pair_rows, "pairs", buckets, pairs, np.uint32) & ~_MINE
+        automaton = Automaton(words, *(_answers(word_rows, n, buckets, words, np.uint64) for n in ("count", "uses", "after")), pairs, joint, tokens, types)
+        place = np.searchsorted(words, read.word)
         first = np.cumsum(read.counts) - read.counts
+        taken = automaton.read(place, np.searchsorted(pairs, read.pair), first)
         sums = lambda x: np.add.reduceat(x, first) if len(first) else x  # noqa: E731  every text has its end
         return pa.table(
             {
-                id_col: docs.column("id"), "held_out": pa.array(read.held), "n_tokens": pa.array(read.counts, pa.int64()), "n_known": pa.array(sums((count[word] > 0).astype(np.int64)), pa.int64()),
-                "train_tokens": pa.array([tokens] * len(first), pa.int64()), "base_score": pa.array(sums(base[word]), pa.float64()), "score": pa.array(sums(arc), pa.float64()),
+                id_col: docs.column("id"), "held_out": pa.array(read.held), "n_tokens": pa.array(read.counts, pa.int64()), "n_known": pa.array(sums(automaton.known[place].astype(np.int64)), pa.int64()),
+                "train_tokens": pa.array([tokens] * len(first), pa.int64()), "base_score": pa.array(sums(automaton.base[place]), pa.float64()), "score": pa.array(sums(taken), pa.float64()),
             }
         )
 

@@ -4,12 +4,15 @@ import collections
 import math
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from cueforge.llm.chunked import spread_keys
-from cueforge.llm.lm import lm_scores
+from cueforge.llm.lm import END, START, Automaton, lm_scores
 from cueforge.llm.minhash import near_duplicates, signatures
 from cueforge.llm.substring import remove_repeats
+from cueforge.llm.wordhash import words_of
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -49,6 +52,48 @@ def test_lm_scores(make_docs, corpus):
     assert lm_scores(make_docs([])).count() == 0
 
 
+def test_automaton_read_one_word_at_a_time():
+    """Walking the arcs word by word, carrying the state, gives what read() gives for all places at once."""
+    texts = [[3, 5, 3, 7], [], [5, 3, 5], [9]]
+    words = np.array(sorted([3, 5, 7, 9, int(START), int(END)]), np.uint64)
+    count = np.array([{3: 4, 5: 2, int(END): 3}.get(int(w), 0) for w in words], np.uint64)
+    uses = np.array([{3: 4, 5: 2, int(START): 3}.get(int(w), 0) for w in words], np.uint64)
+    after = np.array([{3: 2, 5: 1, int(START): 2}.get(int(w), 0) for w in words], np.uint64)
+    counts = {(3, 5): 3, (5, 3): 2, (int(START), 3): 2, (3, int(END)): 1}
+    read, pairs = [], []
+    for t in texts:
+        h = int(START)
+        for w in [*t, int(END)]:
+            read.append(w)
+            pairs.append((h, w))
+            h = w
+    distinct = sorted(set(pairs))
+    automaton = Automaton(words, count, uses, after, np.arange(len(distinct), dtype=np.uint64), np.array([counts.get(p, 0) for p in distinct], np.uint32), 9, 3)
+    lengths = np.array([len(t) + 1 for t in texts])
+    got = automaton.read(np.searchsorted(words, np.array(read, np.uint64)), np.array([distinct.index(p) for p in pairs]), np.cumsum(lengths) - lengths)
+    want = []
+    number = {int(w): k for k, w in enumerate(words)}
+    base = lambda w: (float(count[number[w]]) + 0.1) / (9 + 0.1 * 4)
+    for t in texts:
+        state = int(START)
+        for w in [*t, int(END)]:
+            c, n = float(uses[number[state]]), float(after[number[state]])
+            failure = 0.75 * n / c if c else 1.0
+            want.append(math.log10((counts[state, w] - 0.75) / c + failure * base(w) if (state, w) in counts else failure * base(w)))
+            state = w
+    assert got.tolist() == pytest.approx(want)
+
+
+def test_long_structured_words_have_hashes_of_their_own():
+    """A Thue-Morse word of 1,024 bytes and its complement, which polynomial hashes modulo 2**64 take for equal."""
+    bits = [bin(k).count("1") % 2 for k in range(1024)]
+    one, two = "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+    found = words_of(pa.array([f"{one} {two} {one}"]))
+    for which in range(2):
+        a, b, c = found.hashes(which).tolist()
+        assert a == c != b
+
+
 def brute_repeats(rows):
     first = {}
     for i, t in rows:
