@@ -8,22 +8,33 @@ gathers one small piece from each chunk, answers in the order asked, and the
 chunk reads its documents again with the answers. A key that is everywhere
 costs one entry a chunk, so no key can make a bucket large, and nothing is
 held for the corpus as a whole.
+
+There is a piece for each pair of a chunk and a bucket, and as many buckets as
+chunks. Chunks therefore grow with the square root of the corpus once pieces
+would be smaller than PIECE_BYTES, so that pieces grow in number with the
+corpus and not with its square: 8 MB up to 0.3 TB of text, 160 MB at 100 TB.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cueforge.llm.common import chunk_count, chunk_of
+from cueforge.llm.common import chunk_of, text_bytes
 
-#: Input bytes (as stored) of a chunk of documents.
-CHUNK_BYTES = 6 << 20
+#: Bytes of text of a chunk of documents at least, where the text is large enough for several, and of text for each piece.
+CHUNK_BYTES, PIECE_BYTES = 8 << 20, 256
 #: Rows that a partition holds back before it packs them.
-PACK_BYTES = 64 << 20
+PACK_BYTES = 24 << 20
+#: Bytes of text of a chunk that are worked on at a time, where that can be.
+PART_BYTES = 2 << 20
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -52,7 +63,8 @@ class Chunks:
     def __init__(self, df: DataFrame, id_col: str, text_col: str, more: dict | None = None, chunk_bytes: int = CHUNK_BYTES) -> None:
         """more: further columns (name: expression) that docs carry beside id and text."""
         own = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        self.count = max(own, chunk_count(df.select(id_col, text_col), chunk_bytes))
+        size = text_bytes(df, text_col)
+        self.count = max(own, math.ceil(size / max(chunk_bytes, math.isqrt(size * PIECE_BYTES))))
         #: As many buckets of keys as chunks: a piece for each pair of them.
         self.buckets = Buckets(self.count)
         more = more or {}
@@ -119,10 +131,12 @@ class Buckets:
         self.keys = spread_keys(count)
         self.place = {key: b for b, key in enumerate(self.keys)}
 
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        return ((hashes >> np.uint64(32)) * np.uint64(self.count)) >> np.uint64(32)
+
     def cuts(self, hashes: np.ndarray) -> np.ndarray:
         """For ascending hashes, the bounds of each bucket's part: count + 1 places."""
-        bucket = ((hashes >> np.uint64(32)) * np.uint64(self.count)) >> np.uint64(32)
-        return np.searchsorted(bucket, np.arange(self.count + 1, dtype=np.uint64))
+        return np.searchsorted(self.of(hashes), np.arange(self.count + 1, dtype=np.uint64))
 
 
 def _packed(batches: list[pa.RecordBatch]):
@@ -144,6 +158,16 @@ def documents(table: pa.Table) -> pa.Table:
     return pa.concat_tables([pa.ipc.open_stream(zstandard.decompress(x.as_py())).read_all() for x in table.column("docs")]).combine_chunks()
 
 
+def parts(docs: pa.Table, most: int = PART_BYTES) -> Iterator[pa.Table]:
+    """Documents in order, in parts of a bounded length of text (or of one document)."""
+    if not docs.num_rows:
+        return
+    size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column(docs, "text")), 0).to_numpy(zero_copy_only=False), np.int64)
+    cut = np.flatnonzero(np.diff(np.cumsum(size) // most, prepend=-1))
+    for a, b in zip(cut.tolist(), [*cut[1:].tolist(), docs.num_rows], strict=True):
+        yield docs.slice(a, b - a).combine_chunks()
+
+
 def column(table: pa.Table, name: str) -> pa.Array:
     """A column of a combined table as one array."""
     got = table.column(name)
