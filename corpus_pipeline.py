@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cueforge.llm.bpe import bpe_encode
-from cueforge.llm.common import LOCAL_CHECKPOINTS, checkpointed
+from cueforge.llm.common import checkpointed, shared_folder
 from cueforge.llm.minhash import near_duplicates
 from cueforge.llm.mixing import mix_sources
 from cueforge.llm.quality import quality_rules
@@ -82,12 +82,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole documents table; what lies between them goes to the shared checkpoint folder."""
+    """All stages over the whole documents table; what lies between them goes to the shared folder, and goes away once the next is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or LOCAL_CHECKPOINTS}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{k}")
             docs = spark.read.parquet(f"{folder}/{k}")
+            if k:
+                _delete(spark, f"{folder}/{k - 1}")
     return docs
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -2,47 +2,39 @@
 
 from __future__ import annotations
 
-import math
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Where lineage is cut if the session names no shared folder (tests, local mode).
+#: Where lineage is cut in local mode if the session names no folder.
 LOCAL_CHECKPOINTS = "/tmp/cueforge-checkpoints"
-#: Estimates of more bytes than this are not believed.
-UNBELIEVED = 1 << 52
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``, or in local mode one of this machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder or spark.sparkContext.master.startswith("local"):
+        return folder or LOCAL_CHECKPOINTS
+    raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut df's lineage with a reliable checkpoint in the folder the cluster names.
 
     The folder is the session's ``spark.checkpoint.dir``; only where that is
-    unset (a local test session) is one set here. The files are shared, so a
-    lost executor costs nothing.
+    unset in local mode (a test session) is one set here. The files are
+    shared, so a lost executor costs nothing.
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """The size of df: for a scan, of its files by Catalyst's estimate, which works for any store and starts no job.
-
-    Where Catalyst has no estimate, or one that cannot be meant (the product
-    of a join's sides), the bytes of df's strings are added up by a job.
-    """
-    guess = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if guess < UNBELIEVED:
-        return guess
-    size = sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)).cast("long") for c in df.columns), F.lit(0))
-    return int(df.agg(F.sum(size)).first()[0] or 0)
-
-
-def chunk_count(df: DataFrame, bytes_each: int, least: int = 8) -> int:
-    """How many chunks of about bytes_each hold df; grows with the input, without a cap."""
-    return max(least, math.ceil(plan_bytes(df) / bytes_each))
+def text_bytes(df: DataFrame, text_col: str) -> int:
+    """The bytes of a column's texts, added up by one job that reads that column; estimates go by types' widths and stored sizes."""
+    return int(df.agg(F.sum(F.octet_length(F.col(text_col).cast("string")).cast("long"))).first()[0] or 0)
 
 
 def chunk_of(n_chunks: int, *columns: str) -> Column:

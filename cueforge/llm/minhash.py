@@ -36,8 +36,10 @@ BANDS = MINIMA // BAND_ROWS
 BITS = 2
 #: Standard deviations by which an estimate may lie below the threshold before a pair is left out.
 SLACK = 5.0
-#: Bytes of text in a block of a bucket.
-BLOCK_BYTES = 32 << 20
+#: Bytes of text, and classes, in a block of a bucket.
+BLOCK_BYTES, BLOCK_ROWS = 8 << 20, 512
+#: Bytes of text, and rows, that are signed or confirmed at a time.
+PART_BYTES, PART_ROWS = 4 << 20, 4096
 #: Row keys that are broadcast to the scan of the texts; more are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
 
@@ -189,7 +191,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = _texts(rows, left.select("cls").distinct().join(row_of, "cls"))
     # of a bucket's components, the largest needs no comparison within itself
     held = left.join(texts, "cls").join(classes.select("cls", "n", "low", "bands"), "cls")
-    size = held.groupBy("key").agg(F.ceil(F.sum(F.octet_length("text")) / F.lit(float(BLOCK_BYTES))).cast("int").alias("blocks"))
+    size = held.groupBy("key").agg(F.ceil(F.greatest(F.sum(F.octet_length("text")) / F.lit(float(BLOCK_BYTES)), F.count("*") / F.lit(float(BLOCK_ROWS)))).cast("int").alias("blocks"))
     held = held.join(size, "key").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     # a task for each pair of blocks, the pair of a block with itself included
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j")))).alias("task")
@@ -216,12 +218,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), named_id.alias("component_id"), kept.alias("kept"), *([F.col("row").alias(row_col)] if row_col else []))
 
 
-def _split(batch: pa.RecordBatch, *text: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with a bounded length of text each (or one row)."""
+def _split(batch: pa.RecordBatch, *text: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with a bounded length of text (or one row) and a bounded number of rows each."""
+    if not batch.num_rows:
+        return
     size = np.zeros(batch.num_rows, np.int64)
     for k in text:
         size += np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(k)), 0).to_numpy(zero_copy_only=False), np.int64)
-    part = np.cumsum(size) // most
+    part = np.cumsum(size) // PART_BYTES + np.arange(batch.num_rows) // PART_ROWS
     cut = np.flatnonzero(np.diff(part, prepend=-1))
     for a, b in zip(cut.tolist(), [*cut[1:].tolist(), batch.num_rows], strict=True):
         yield batch.slice(a, b - a)
