@@ -1,17 +1,24 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to lines, one for each block-level piece of text. Elements
-that are boilerplate by name, role or class are left out; those by name leave
-empty lines in their place, and so do the borders of an article. The lengths of WINDOW lines that follow
+Markup is stripped to lines, one for each block-level piece of text. A line
+weighs its characters outside links. The weights of WINDOW lines that follow
 each other are summed; where the sums rise from zero the text surges, where
 they fall to zero it dives, and the lines between a surge and its dive are one
-region. Regions inside an article (or the main element) are kept; on a page
-that marks none, those are kept whose sums reach SURGE, or else the one that
-peaks highest, unless they are mostly links.
+region. A region has its highest sum as its peak.
+
+Markup tells windows where they may not reach: a menu, header, footer, form or
+other element that is boilerplate by its name leaves WINDOW empty lines, as do
+the borders of an article (or the main element). Of a page that marks articles,
+the one with the highest peak is the text, and of a page that marks none, all
+regions are that reach SURGE, or else the highest. A class or id takes out an
+element only if one of its names says nothing else than boilerplate, it is no
+heading and holds no article; on a page without a marked article it must be the
+smaller part of the page, or reader comments.
 """
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 from collections.abc import Iterator
@@ -22,8 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Lines of a window, characters of a window that make text of it, and the share of link text above which a region is a menu.
-WINDOW, SURGE, LINKED = 3, 86, 0.5
+#: Lines of a window, and characters of a window that make text of it.
+WINDOW, SURGE = 3, 86
+#: A class takes no element out that has more than this part of a page's text outside links.
+LARGE = 0.5
 
 # Elements whose text is no text of the page.
 RAW = ("script", "style", "noscript", "template", "iframe", "svg", "math", "canvas", "object", "textarea", "title")
@@ -37,6 +46,13 @@ MARKS = (
     "sidebar", "aside", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "pagination", "pager", "header", "masthead", "footer", "comment", "comments", "respond", "replies", "disqus", "share", "sharing", "social", "related",
     "recommended", "popup", "modal", "overlay", "widget", "toolbar", "search", "skip", "copyright",
 )
+# Words of a class or id that mark reader comments, however long they are.
+COMMENTS = ("comment", "comments", "respond", "replies", "disqus")
+# Words beside those marks that say nothing of their own.
+NEUTRAL = (
+    "site", "page", "post", "article", "entry", "blog", "global", "top", "bottom", "left", "right", "main", "primary", "secondary", "box", "area", "block", "bar", "wrapper", "wrap", "container", "inner", "outer", "content", "list", "item", "items",
+    "links", "link", "section", "panel", "text", "form", "js", "m", "l", "u",
+)
 # Elements that begin and end a block.
 BLOCKS = (
     "address", "article", "blockquote", "body", "center", "dd", "details", "div", "dl", "dt", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "hgroup", "hr", "html", "li", "main", "ol", "option", "p", "pre", "section", "summary",
@@ -44,37 +60,54 @@ BLOCKS = (
 )
 # Elements without an end tag.
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
-#: Elements that hold the page and are not judged by class.
-PAGE = ("html", "body", "article", "main")
+#: Elements that hold the page, and headings, are not judged by class.
+PAGE = ("html", "body", "article", "main", "h1", "h2", "h3", "h4", "h5", "h6")
 
 _HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(" + "|".join(RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?<!/)>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)", re.S | re.I)
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)>", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_LINK = re.compile(r"<a\b.*?(?:</a\s*>|\Z)", re.S | re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
-_BLOCKS, _BOILERPLATE, _VOID, _MARKS = frozenset(BLOCKS), frozenset(BOILERPLATE), frozenset(VOID), frozenset(MARKS)
+_BLOCKS, _BOILERPLATE, _VOID, _MARKS, _NEUTRAL, _COMMENTS = frozenset(BLOCKS), frozenset(BOILERPLATE), frozenset(VOID), frozenset(MARKS), frozenset(NEUTRAL), frozenset(COMMENTS)
 
 
 @dataclass
 class Line:
     text: str
     linked: int  # code points inside links
-    article: bool
+    article: int  # the article it lies in, from 1, or 0
+
+    @property
+    def weight(self) -> int:
+        return max(0, len(self.text) - self.linked)
+
 
+def _marked(value: str) -> str:
+    """'hint' where a class or id has a name of marks and neutral words alone ('site-footer', not 'with-sidebar' or 'related-work'), 'name' if they mark comments."""
+    hint = ""
+    for name in value.split():
+        words = [w.lower() for w in _WORD.findall(name) if not w.isdigit()]
+        if any(w in _MARKS for w in words) and all(w in _MARKS or w in _NEUTRAL for w in words):
+            hint = "name" if hint == "name" or any(w in _COMMENTS for w in words) else "hint"
+    return hint
 
-def _boilerplate(name: str, attributes: str) -> bool:
+
+def _boilerplate(name: str, attributes: str, inside: bool) -> str:
+    """'name' or 'hint' where an element may be boilerplate, by its name or what it says of itself; inside: in an article, whose header is text."""
     if name in _BOILERPLATE:
-        return True
+        return "" if inside and name == "header" else "name"
     if name in PAGE or not attributes:
-        return False
+        return ""
+    hint = ""
     for key, *values in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), next((v for v in values if v), "")
-        if key in ("class", "id") and any(w.lower() in _MARKS for w in _WORD.findall(value)):
-            return True
         if key == "role" and value.lower() in ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True
+            return "name"
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return "name"
+        if key in ("class", "id") and (found := _marked(value)):
+            hint = "name" if "name" in (hint, found) else found
+    return hint
 
 
 def _end(tags: list[re.Match], k: int) -> tuple[int, int] | None:
@@ -91,23 +124,30 @@ def _end(tags: list[re.Match], k: int) -> tuple[int, int] | None:
     return None
 
 
+def _plain(run: str) -> int:
+    """About the characters of a run of markup that are text outside links."""
+    return len(" ".join(html.unescape(_TAG.sub(" ", _LINK.sub(" ", run))).split()))
+
+
 def lines_of(page: str) -> list[Line]:
     """The lines of a page in order; boilerplate elements and the borders of articles are WINDOW empty lines."""
     page = _HIDDEN.sub(" ", page)
     tags = list(_TAG.finditer(page))
+    roots = [t.start() for t in tags if not t[1] and t[2].lower() in ("article", "main")]
     lines: list[Line] = []
     held: list[str] = []
-    linked, links, articles, at, k = 0, 0, 0, 0, 0
+    linked, links, depth, articles, at, k = 0, 0, 0, 0, 0, 0
+    whole = -1
 
     def flush(gap: bool = False) -> None:
         nonlocal linked
         text = " ".join("".join(held).split())
         held.clear()
         if text:
-            lines.append(Line(text, linked, articles > 0))
+            lines.append(Line(text, linked, articles if depth else 0))
         linked = 0
         if gap:
-            lines.extend([Line("", 0, False)] * WINDOW)
+            lines.extend([Line("", 0, 0)] * WINDOW)
 
     def take(run: str) -> None:
         nonlocal linked
@@ -116,18 +156,33 @@ def lines_of(page: str) -> list[Line]:
             held.append(run)
             linked += len(run) if links else 0
 
+    def left_out(kind: str, start: int, end: int) -> bool:
+        """Whether an element that may be boilerplate is; one that holds an article never is."""
+        nonlocal whole
+        first = bisect.bisect_left(roots, start)
+        if first < len(roots) and roots[first] < end:
+            return False
+        # where an article is marked, nothing else is in doubt
+        if kind == "name" or roots:
+            return True
+        if whole < 0:
+            whole = _plain(page)
+        return _plain(page[start:end]) <= whole * LARGE
+
     while k < len(tags):
         tag = tags[k]
         take(page[at : tag.start()])
         at, closes, name = tag.end(), bool(tag[1]), tag[2].lower()
-        if not closes and name not in _VOID and _boilerplate(name, tag[3]) and (end := _end(tags, k)) is not None:
+        if not closes and name not in _VOID and (kind := _boilerplate(name, tag[3], depth > 0)) and (end := _end(tags, k)) is not None and left_out(kind, tag.start(), end[0]):
             if name in _BLOCKS:
-                flush(gap=name in _BOILERPLATE)
+                flush(gap=name in _BOILERPLATE and not depth)
             at, k = end
             continue
         if name in ("article", "main"):
             flush(gap=True)
-            articles = max(0, articles + (-1 if closes else 1))
+            # the outermost of them is an article; those in it are part of it
+            articles += int(not closes and not depth)
+            depth = max(0, depth + (-1 if closes else 1))
         elif name in _BLOCKS:
             flush()
         elif name == "br":
@@ -154,20 +209,27 @@ def regions(lengths: list[int]) -> list[tuple[int, int, int]]:
 def main_text(page: str | None) -> str:
     """The main text of a page, its blocks joined by line feeds; '' for null, empty and text-free pages."""
     lines = lines_of(page or "")
-    found = regions([len(x.text) for x in lines])
-    inside = [r for r in found if any(x.article for x in lines[r[0] : r[1]])]
-    if not inside:
-        share = lambda r: sum(x.linked for x in lines[r[0] : r[1]]) / max(1, sum(len(x.text) for x in lines[r[0] : r[1]]))
-        plain = [r for r in found if share(r) <= LINKED]
-        inside = [r for r in plain if r[2] >= SURGE] or sorted(plain, key=lambda r: -r[2])[:1]
-    return "\n".join(x.text for a, b, _ in inside for x in lines[a:b] if x.text)
+    found = regions([x.weight for x in lines])
+    peaks: dict[int, int] = {}
+    for a, b, peak in found:
+        for own in {x.article for x in lines[a:b] if x.article}:
+            peaks[own] = max(peaks.get(own, 0), peak)
+    if peaks:
+        # all of the article, what stands between its regions included
+        own = max(peaks, key=lambda k: (peaks[k], -k))
+        kept = [x for x in lines if x.article == own]
+    else:
+        chosen = [r for r in found if r[2] >= SURGE] or sorted(found, key=lambda r: -r[2])[:1]
+        kept = [x for a, b, _ in chosen for x in lines[a:b]]
+    return "\n".join(x.text for x in kept if x.text)
 
 
 def extract_text(df: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """The main text of every whole page: (keep..., text string, n_chars long), one row for each row in.
 
-    A narrow map. Null and empty pages give ''; repeated rows are extracted
-    each; columns of df that are not named are not read.
+    A narrow map. Null and empty pages give '', an empty table an empty one;
+    repeated rows are extracted each; pages may be of any length, one is held
+    at a time; columns of df that are not named are not read.
     """
     fields = [df.schema[c] for c in keep]
 
