@@ -170,44 +170,69 @@ _PLACED = rf"(?=[A-Za-z0-9+/_.\-]{{16}})(?<=(\A[\s\S]{{0,{BESIDE - 1}}}|[\s\S]{{
 
 
 def _judged(text: Column, forest: tuple) -> Column:
-    """The candidates of a text, each once, as (value, at, features, score).
+    """The candidates of a text, each value once, as (value, at, features, score).
 
     Every occurrence is described by what stands beside it; a value has the
-    features and score of its highest one. at is the value's first place in
-    the text, from 1.
+    features and score of its highest one, and at is that one's number among
+    the text's occurrences, from 1. All steps are linear but for one sort.
     """
     before, value, after = (F.regexp_extract_all(text, F.lit(_PLACED), F.lit(k)) for k in (1, 2, 3))
     found = F.arrays_zip(before.alias("before"), value.alias("value"), after.alias("after"))
+    found = F.transform(found, lambda x, k: F.struct(*(x.getField(n).alias(n) for n in ("before", "value", "after")), (k + 1).alias("at")))
     found = F.filter(found, lambda x: x.getField("value").rlike("[A-Za-z0-9]{8}"))
-    described = F.transform(found, lambda c: F.struct(c.getField("value").alias("value"), F.array(*_features(c.getField("value"), c.getField("before"), c.getField("after"))).alias("features")))
+    described = F.transform(found, lambda c: F.struct(c.getField("value").alias("value"), c.getField("at").alias("at"), F.array(*_features(c.getField("value"), c.getField("before"), c.getField("after"))).alias("features")))
     total = lambda row: sum((_case(t, row) for t in forest), F.lit(0.0)) * 100 / len(forest)
     # the highest of a value comes first
-    scored = F.transform(described, lambda c: F.struct(c.getField("value").alias("value"), (-total(c.getField("features"))).alias("low"), c.getField("features").alias("features")))
+    scored = F.transform(described, lambda c: F.struct(c.getField("value").alias("value"), (-total(c.getField("features"))).alias("low"), c.getField("at").alias("at"), c.getField("features").alias("features")))
 
     def first(s: Column) -> Column:
         # a null before the first
         best = F.filter(s, lambda x, k: ~x.getField("value").eqNullSafe(F.get(s, k - 1).getField("value")))
-        placed = F.transform(best, lambda x: F.struct(F.position(x.getField("value"), text).alias("at"), x.alias("x")))
+        placed = F.transform(best, lambda x: F.struct(x.getField("at").alias("at"), x.alias("x")))
         return F.transform(F.array_sort(placed), lambda c: F.struct(c.getField("x").getField("value").alias("value"), c.getField("at").alias("at"), c.getField("x").getField("features").alias("features"), (-c.getField("x").getField("low")).alias("score")))
 
     # a one-element array binds a value once
     return F.get(F.transform(F.array(F.array_sort(scored)), first), F.lit(0))
 
 
+def _redacted(text: Column, values: Column) -> Column:
+    """text with REDACTED for each candidate that is one of values; whole candidates only, so no longer one is cut.
+
+    Values are looked up in as many lists as the root of their number, dealt by hash.
+    """
+    bound = F.struct(values.alias("values"), F.greatest(F.ceil(F.sqrt(F.size(values))), F.lit(1)).cast("int").alias("lists"))
+    of = lambda v, lists: F.pmod(F.xxhash64(v), lists).cast("int")
+
+    def dealt(x: Column) -> Column:
+        values, lists = x.getField("values"), x.getField("lists")
+        table = F.transform(F.sequence(F.lit(0), lists - 1), lambda b: F.filter(values, lambda v: of(v, lists) == b))
+        return F.get(F.transform(F.array(F.struct(table.alias("table"), lists.alias("lists"))), joined), F.lit(0))
+
+    def joined(x: Column) -> Column:
+        shown = lambda t: F.when(t.isNull(), "").when(F.array_contains(F.get(x.getField("table"), of(t, x.getField("lists"))), t), REDACTED).otherwise(t)
+        # one more piece of text than candidates
+        return F.array_join(F.zip_with(F.split(text, CANDIDATE), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), lambda piece, t: F.concat(piece, shown(t))), "")
+
+    # one-element arrays bind what each lambda needs once
+    return F.get(F.transform(F.array(bound), dealt), F.lit(0))
+
+
 def secret_scan(df: DataFrame, text_col: str = "text", forest: tuple | None = None) -> DataFrame:
     """Add to df what the scan of every whole text finds, and the text without it.
 
     New columns: candidates (array of value, at, features, score), findings
-    (those of VOTES or more), redacted (the text with every occurrence of a
-    finding replaced by REDACTED; null stays null). Null and empty texts have
-    none. Every row is scanned for itself, so repeated rows get equal answers.
-    Other columns pass, also where they bear one of the new names, by being
-    replaced.
+    (those of VOTES or more), redacted (the text with every candidate that is
+    a finding's value replaced by REDACTED, wherever it stands; null stays
+    null). Null and empty texts have none, and an empty table gives an empty
+    one. Texts may be of any length: work grows with the text, and with the
+    power 1.5 of its findings. Every row is scanned for itself, so repeated
+    rows get equal answers. Other columns pass, also where they bear one of the
+    new names, by being replaced.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     # most texts have no candidate, and are not looked at further
     candidates = F.when(text.rlike(CANDIDATE), _judged(text, tuple(forest or default_forest())))
     out = df.withColumn("candidates", candidates)
     out = out.withColumn("findings", F.coalesce(F.filter("candidates", lambda c: c.getField("score") >= VOTES), F.array()))
-    redacted = F.aggregate(F.transform("findings", lambda c: c.getField("value")), F.col(text_col).cast("string"), lambda t, v: F.replace(t, v, F.lit(REDACTED)))
+    redacted = _redacted(F.col(text_col).cast("string"), F.transform("findings", lambda c: c.getField("value")))
     return out.withColumn("redacted", F.when(F.size("findings") > 0, redacted).otherwise(F.col(text_col).cast("string")))
