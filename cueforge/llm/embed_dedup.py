@@ -8,8 +8,10 @@ EPSILON * sqrt((1 - f*f) / (f*f * (d - 1))) with a confidence that EPSILON
 sets. A pair is recomputed in double precision if the bound lets it reach the
 threshold; all others are left out.
 
-Candidates come from cells: CELLS_OF nearest of a bounded set of centres that
-lie apart, sampled by hash. Every vector is indexed; equal vectors are one row
+Candidates come from cells: CELLS_OF nearest of a set of centres that lie
+apart, sampled by hash. Their number grows with the vectors, then with the root
+of their number, and is bounded by MOST_BYTES, as they are broadcast. Every
+vector is indexed; equal vectors are one row
 with a weight. A large cell is cut into blocks, and each pair of blocks is a
 task, which returns weighted link counts for its vectors and the links that
 join components, never its pairs. A pair in several common cells is counted in
@@ -18,6 +20,7 @@ the first of them.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +30,8 @@ from pyspark.sql import functions as F
 
 from cueforge.llm.common import checkpointed, components
 
-#: Vectors for each centre, and the most centres there are (sampled, sent to every task).
-PER_CENTRE, MOST_CENTRES = 128, 65_536
+#: Vectors for each centre; centres from which on their number grows with ROOT times the root of the number of vectors; bytes of centres, which are broadcast.
+PER_CENTRE, MANY_CENTRES, ROOT, MOST_BYTES = 128, 65_536, 8, 1 << 30
 #: Centres are no nearer to each other than this cosine.
 CENTRES_APART = 0.7
 #: Cells that each vector is put in.
@@ -73,17 +76,36 @@ def _units(column: pa.Array) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def centre_count(n: int, d: int) -> int:
+    """How many centres are sampled for n vectors of up to d components."""
+    return max(8, min(n // PER_CENTRE, max(MANY_CENTRES, ROOT * math.isqrt(n)), MOST_BYTES // (4 * max(1, d))))
+
+
 def _centres(classes: DataFrame) -> dict[int, np.ndarray]:
-    """For each length of vectors, sampled centres that lie apart."""
-    n = classes.count()
-    rows = classes.select("vector").orderBy(F.xxhash64("cls"), "cls").limit(min(MOST_CENTRES, max(8, n // PER_CENTRE))).toArrow()
-    found: dict[int, list[np.ndarray]] = {}
-    for value in rows.column("vector"):
-        unit = _units(pa.array([value.as_py()], pa.list_(pa.float64())))[0]
-        held = found.setdefault(len(unit), [])
-        if not held or (np.array(held) @ unit).max() < CENTRES_APART:
-            held.append(unit)
-    return {d: np.array(x, np.float32) for d, x in found.items()}
+    """For each length of vectors, sampled centres that lie apart. The sample is bounded (centre_count), whatever the number of vectors."""
+    size = classes.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("d")).first()
+    rows = classes.select("vector").orderBy(F.xxhash64("cls"), "cls").limit(centre_count(size["n"], size["d"] or 1)).toArrow()
+    vectors = rows.column("vector").combine_chunks()
+    vectors = vectors if isinstance(vectors, pa.Array) else pa.concat_arrays(vectors.chunks)
+    lengths = vectors.value_lengths().to_numpy(zero_copy_only=False)
+    return {d: _apart(_units(vectors.filter(pa.array(lengths == d))).astype(np.float32)) for d in np.unique(lengths).tolist()}
+
+
+def _apart(unit: np.ndarray) -> np.ndarray:
+    """Of unit rows, those that lie apart from all rows kept before them; worked out a tile of rows at a time."""
+    held, n = np.empty_like(unit), 0
+    for k in range(0, len(unit), _TILE):
+        tile = unit[k : k + _TILE]
+        free = np.ones(len(tile), bool)
+        for j in range(0, n, 16 * _TILE):
+            free &= (tile @ held[j : min(n, j + 16 * _TILE)].T).max(1) < CENTRES_APART
+        near = tile @ tile.T >= CENTRES_APART
+        for i in np.flatnonzero(free).tolist():
+            if free[i]:
+                held[n] = tile[i]
+                n += 1
+                free &= ~near[i]
+    return held[:n].copy()
 
 
 def embedding_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9) -> DataFrame:
@@ -92,8 +114,9 @@ def embedding_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str
     Null and zero vectors and those with null or non-finite components link
     with nothing; so do vectors of different lengths. Equal vectors always
     link. A null id is linked and counted, but names a component only if all
-    ids in it are null. Rows of one id are rows of their own. Other columns of
-    df are not read.
+    ids in it are null. Rows of one id are rows of their own. An empty table
+    gives an empty one. Other columns of df are not read. Steps are eager and
+    write to the shared checkpoint folder.
     """
     vector = F.col(vector_col).cast("array<double>")
     # -0.0 is 0.0
@@ -101,9 +124,10 @@ def embedding_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str
     rows = df.select(F.col(id_col).alias("id"), F.when(usable(vector), vector).alias("vector")).withColumn("cls", F.when(F.col("vector").isNotNull(), F.xxhash64("vector")))
     classes = rows.where("cls is not null").groupBy("cls").agg(F.min("id").alias("id"), F.count("*").alias("weight"), F.first("vector").alias("vector"))
     classes = checkpointed(classes)
-    centres = _centres(classes)
+    sent = df.sparkSession.sparkContext.broadcast(_centres(classes))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres = sent.value
         for batch in batches:
             lengths = batch.column(2).value_lengths().to_numpy(zero_copy_only=False)
             for d in np.unique(lengths).tolist():

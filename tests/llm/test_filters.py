@@ -2,14 +2,17 @@
 
 import math
 import random
+import re
+import string
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cueforge.llm import quality, secret_scan
-from cueforge.llm.embed_dedup import embedding_duplicates
-from cueforge.llm.html_extract import extract_text, main_text
+from cueforge.llm.embed_dedup import centre_count, embedding_duplicates
+from cueforge.llm.html_extract import WINDOW, extract_text, main_text, regions
 from cueforge.llm.mixing import entropy_exponent, mix_sources, repetition_exponent
 
 
@@ -141,6 +144,40 @@ def test_text_of_pages_without_an_article():
     assert main_text(page) == f"{long.strip()}\nShort."
 
 
+LONG = "A sentence that is long enough to count as text of a page, which menus never are, honestly."
+
+
+@pytest.mark.parametrize("page, want", [
+    (f'<div class="layout with-sidebar"><p>{LONG}</p></div>', LONG), (f'<div class="no-sidebar"><article><p>{LONG}</p></article></div>', LONG), (f'<div class="content"><div class="page-header"><p>{LONG}</p></div></div>', LONG),
+    ("<article><header><h1>Head</h1></header><p>Body.</p></article>", "Head\nBody."), ('<article><h2 class="section-header">Sub</h2><p>Body.</p><p class="related-work">Rel.</p></article>', "Sub\nBody.\nRel."),
+    (f'<article><p>One.</p><div class="comments-area"><p>{LONG}</p></div></article>', "One."), (f'<div><p>{LONG}</p></div><div id="disqus"><p>{LONG}{LONG}</p></div>', LONG),
+    (f'<article class="teaser"><a href="x">Short</a></article><article><p>{LONG}</p></article>', LONG), (f"<main><p>In.</p><article><p>{LONG}</p></article></main>", f"In.\n{LONG}"),
+])
+def test_marks_are_hints(page, want):
+    assert main_text(page) == want
+
+
+def test_windows_find_the_article_without_its_mark(spark):
+    """On every page of the smallest table, surge and dive bound the text that the article element marks."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html").collect()]
+    assert pages and all(main_text(re.sub(r"<(/?)article\\b", r"<\\1div", p)) == main_text(p) != "" for p in pages if p)
+
+
+def test_regions_against_plain_python():
+    rng = random.Random(4)
+    for _ in range(300):
+        size = [rng.choice((0, 0, 0, 5, 40, 200)) for _ in range(rng.randint(0, 25))]
+        sums = [sum(size[k : k + WINDOW]) for k in range(len(size))]
+        want, k = [], 0
+        while k < len(size):
+            if sums[k]:
+                end = next((j for j in range(k, len(size)) if not sums[j]), len(size))
+                want.append((k, end, max(sums[k:end])))
+                k = end
+            k += 1
+        assert regions(size) == want
+
+
 def test_extract(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, 5), (1, "u", PAGE, 5), (2, None, None, 6), (None, "v", "<p>é</p>", 7)], "page_id long, url string, html string, text int")
     got = sorted(map(repr, ((r.page_id, r.url, r.n_chars) for r in extract_text(pages).collect())))
@@ -176,6 +213,25 @@ def test_embeddings(spark, monkeypatch, block):
     assert embedding_duplicates(table.limit(0)).count() == 0
 
 
+def test_recall_of_the_index(spark, monkeypatch):
+    """With many more centres than cells of a vector, links found are a part of all links, at least nine in ten, and never others."""
+    assert [centre_count(n, 768) for n in (10, 10_000, 10**8, 10**9)] == [8, 78, 80_000, 252_976]
+    monkeypatch.setattr("cueforge.llm.embed_dedup.PER_CENTRE", 4)
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((1200, 24))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    noise = rng.standard_normal((600, 24))
+    noise -= (noise * base[:600]).sum(1, keepdims=True) * base[:600]
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    c = rng.uniform(0.9, 0.96, (600, 1))
+    vectors = np.concatenate([base, c * base[:600] + np.sqrt(1 - c * c) * noise])
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(vectors.tolist())], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in embedding_duplicates(df).collect()}
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.9).sum(1) - 1
+    assert all(got[k] <= n for k, n in enumerate(want.tolist())) and sum(got.values()) >= 0.9 * want.sum() > 1000
+
+
 def test_long_boilerplate_lines(make_docs):
     rng = random.Random(6)
     body = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
@@ -244,3 +300,56 @@ def test_entropies_outside_the_sources_own(make_docs):
     with pytest.raises(ValueError, match="cannot be reached"):
         mix_sources(docs, entropy=1.5)
     assert mix_sources(make_docs([]), entropy=1.0).count() == 0
+
+
+def scan_in_python(text):
+    """The findings and redacted text of a plain scan: every candidate in order, its features, and the votes of the trees."""
+    pattern = re.compile(secret_scan.CANDIDATE)
+    found = [(m.start(), m.end(), m[0]) for m in pattern.finditer(text or "")]
+    best = {}
+    for a, b, value in found:
+        if not re.search("[A-Za-z0-9]{8}", value):
+            continue
+        before, after = text[max(0, a - secret_scan.BESIDE) : a], text[b : b + secret_scan.BESIDE]
+        size = len(value)
+        classes = re.sub("[0-9]+", "0", re.sub("[a-z]+", "l", re.sub("[A-Z]+", "U", value)))
+        has = lambda words: float(any(w in before.lower() for w in words))
+        row = [
+            size, sum(c in "0123456789" for c in value) / size, len(classes) / size, (size - len(re.sub("|".join(secret_scan.COMMON), "", value.lower()))) / size,
+            float(bool(re.search(r"[/.].*[/.]", value) or re.search(r"(?:://|[@\\])[^\s?#]*$", before))), has(secret_scan.SECRET_WORDS), has(secret_scan.OTHER_WORDS),
+            float(bool(re.search(r"[=:]\s*[\"']?$", before) and re.search(r"^(?:[\"',;\s!&#)}\]<`]|$)", after))),
+        ]
+        forest = secret_scan.default_forest()
+        best[value] = max(best.get(value, 0.0), 100 * sum(secret_scan.vote(t, row) for t in forest) / len(forest))
+    secrets = {v for v, score in best.items() if score >= secret_scan.VOTES - 1e-9}
+    out, at = [], 0
+    for a, b, value in found:
+        out += [text[at:a], secret_scan.REDACTED if value in secrets else value]
+        at = b
+    return secrets, text and "".join([*out, text[at:]])
+
+
+def test_secret_scan_against_plain_python(make_docs):
+    rng = random.Random(5)
+    pick = lambda chars, k: "".join(rng.choices(chars, k=k))
+    full = string.ascii_letters + string.digits
+    keys = [pick("0123456789abcdef", 40) for _ in range(6)] + [pick(full, rng.randint(16, 44)) for _ in range(6)]
+    forms = ['token = "{}"', "API_KEY={}", "commit sha {} was", "https://u:{}@host/x", "see /usr/lib/{}/x.bin", "file {}.bin", "{}", "id={} checksum", "password: {};"]
+    rows = [(k, " ".join(rng.choice(forms).format(rng.choice(keys)) for _ in range(rng.randint(1, 12)))) for k in range(60)]
+    # a longer key that begins with another, and a clean name that holds one
+    rows += [(100, f'token = "{keys[0]}" and token = "{keys[0]}9c1d77aa" and file {keys[0]}.bin'), (101, None), (102, ""), (103, "plain")]
+    scanned = secret_scan.secret_scan(make_docs(rows))
+    assert native(scanned)
+    got = {r.doc_id: ({c.value for c in r.findings}, r.redacted) for r in scanned.collect()}
+    assert got == {i: scan_in_python(t) for i, t in rows}
+    assert keys[0] + ".bin" in got[100][1] and "9c1d77aa" not in got[100][1]
+
+
+def test_many_candidates_take_linear_time(make_docs):
+    rng = random.Random(6)
+    text = " ".join(f'token = "{"".join(rng.choices("0123456789abcdef", k=32))}"' for _ in range(20_000))
+    docs = make_docs([(1, text)]).persist()
+    secret_scan.secret_scan(make_docs([(1, text[:4000])])).select("redacted").collect()
+    began = time.perf_counter()
+    [row] = secret_scan.secret_scan(docs).select("redacted").collect()
+    assert row.redacted.count(secret_scan.REDACTED) == 20_000 and time.perf_counter() - began < 60
