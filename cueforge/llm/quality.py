@@ -151,10 +151,12 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         lost = checkpointed(lost)
         lost = F.broadcast(lost) if lost.count() <= BROADCAST_TEXTS else lost
 
-    measured = df.select(*[F.col(c).alias(f"_keep{k}") for k, c in enumerate(keep)], F.col(id_col).alias("_id"), row.alias("_row"), *([F.col(text_col).cast("string").alias("_text")] if cleaned_col else []), words(text).alias("_words"), *(c.alias(k) for k, c in _measures(text).items()))
-    measured = measured.select("*", F.size("_words").cast("long").alias("n_words"), repeated_words(F.col("_words")).cast("long").alias("n_repeat_words")).drop("_words")
+    # the words are bound once, so that a filter on what is kept, pushed below, does not split the text again for each of its windows
+    bound = F.get(F.transform(F.array(words(text)), lambda w: F.get(F.transform(F.array(repeated_words(w).cast("long")), lambda r: F.struct(r.alias("repeated"), ((F.size(w) < LEAST_WORDS) | (r * 100 > F.size(w) * MOST_REPEATED)).alias("failed"))), F.lit(0))), F.lit(0))
+    measured = df.select(*[F.col(c).alias(f"_keep{k}") for k, c in enumerate(keep)], F.col(id_col).alias("_id"), row.alias("_row"), *([F.col(text_col).cast("string").alias("_text")] if cleaned_col else []), bound.alias("_base"), F.size(words(text)).cast("long").alias("n_words"), *(c.alias(k) for k, c in _measures(text).items()))
+    measured = measured.select("*", F.col("_base.repeated").alias("n_repeat_words"), F.col("_base.failed").alias("_failed")).drop("_base")
     judged = measured.join(lost, "_row", "left").withColumn("n_lost_words", F.coalesce("n_lost_words", F.lit(0)).cast("long"))
-    failed = (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MOST_REPEATED)
+    failed = F.col("_failed")
     depleted = _depleted(F.col("n_words"), F.col("n_lost_words"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lost_words")
     cleaned = []
