@@ -16,10 +16,6 @@ def wav_duration_ms(n_frames: Column, rate: Column) -> Column:
     return F.floor(n_frames * 1000 / rate).cast("bigint")
 
 
-def resampled_size(n: Column, source_rate: Column, target_rate: Column) -> Column:
-    return F.bround(n * target_rate / source_rate.cast("double"), 0).cast("bigint")
-
-
 def fit(samples: Column, target: Column) -> Column:
     """An array of samples in target frames, interpolated and cut toward zero; equal sizes stay as they are."""
     n = F.size(samples)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cueforge.functions import prosody
+from cueforge.functions.frames import frames
 
 
 def segments(cues: DataFrame, language: str = "") -> DataFrame:
@@ -32,6 +33,13 @@ def align_pairs(segments: DataFrame, durations: DataFrame) -> DataFrame:
     return align(both.withColumn("duration_ms", checked).drop("_s", "_d"))
 
 
+def span(timed: DataFrame, rate: int) -> DataFrame:
+    """(file_id, frames): where each file's timeline ends. A window counts whole, a cue without one by its audio's duration_ms."""
+    window, at = F.col("end_ms") - F.col("start_ms"), lambda c: frames(c, rate)
+    end = at(F.col("start_ms")) + F.when(window > 0, at(window)).otherwise(at(F.col("duration_ms")))
+    return timed.groupBy("file_id").agg(F.max(end).alias("frames"))
+
+
 def plan(timed: DataFrame) -> DataFrame:
     return timed.select("file_id", "ord", "start_ms", "end_ms", "stretch_ratio", "text")
 

@@ -74,7 +74,8 @@ def render(timed: DataFrame, rate: int = wav.DEFAULT_RATE, most_ms: int = MOST_M
                 out = []
                 for k in range(first // chunk, max(first, end - 1) // chunk + 1):
                     a, b = max(first, k * chunk), min(end, (k + 1) * chunk)
-                    if b > a:
+                    # audio of no samples still reaches its start
+                    if b > a or end == first:
                         out.append((k, a - k * chunk, b - k * chunk, samples[a - first : b - first].astype("<i2").tobytes()))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([row["file_id"]] * len(out), pa.string()), *(pa.array([o[i] for o in out], pa.int32()) for i in range(3)), pa.array([row["start_ms"]] * len(out), pa.int64()), pa.array([row["ord"]] * len(out), pa.int32()), pa.array([o[3] for o in out], pa.binary())],

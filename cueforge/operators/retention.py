@@ -23,6 +23,7 @@ def retained(jobs: DataFrame, key: str, seq: str = "seq", size: str = "bytes", m
 
 def last_of_stem(files: DataFrame, stem: str = "stem", position: str = "position") -> DataFrame:
     """Of the inputs that would write one stem, the last, with their number as inputs."""
-    own = Window.partitionBy(stem)
-    ranked = files.withColumns({"_rank": F.row_number().over(own.orderBy(F.col(position).desc())), "inputs": F.count("*").over(own)})
-    return ranked.where("_rank = 1").drop("_rank")
+    # a greatest row and a count are partial aggregates, so a stem that many inputs share is no one task's
+    others = [c for c in files.columns if c != stem]
+    last = files.groupBy(stem).agg(F.max(F.struct(position, *(c for c in others if c != position))).alias("_last"), F.count("*").alias("inputs"))
+    return last.select(stem, *(F.col("_last").getField(c).alias(c) for c in others), "inputs")

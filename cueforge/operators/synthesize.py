@@ -67,7 +67,7 @@ class Piper:
         if shutil.which("piper") is None:
             raise RuntimeError("piper not found on PATH")
         if not self.model:
-            raise RuntimeError("no piper voice model configured")
+            raise RuntimeError("piper needs a voice model: --model or PIPER_MODEL")
         run = subprocess.run(["piper", "--model", self.model, "--output_raw"], input=segment["text"].encode(), check=True, capture_output=True, timeout=self.timeout_s)
         return wav.encode(run.stdout, wav.logged_rate(run.stderr.decode("utf-8", "replace").splitlines()))
 

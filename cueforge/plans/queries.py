@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from cueforge.functions import frames, prosody
-from cueforge.operators import align, retention, synthesize, validate
-from cueforge.plans import corpus
-from cueforge.sources import subtitles, voices
+from cueforge.operators import align, render, retention, synthesize, validate
+from cueforge.plans import corpus, run
+from cueforge.sources import sinks, subtitles, voices, wav
 
 #: Frames a second in queries whose rows are frames.
 LOW_RATE = 100
+#: Frames of a chunk in those queries, so that files are of several.
+LOW_CHUNK = 256
 #: Milliseconds of a timeline in the query for cues beyond it.
 LOW_CAP = 12_000
 RETAINED_BYTES = 1000
@@ -62,7 +68,7 @@ def q2_srt_skip_malformed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {corpus.parsed_sql()} SELECT DISTINCT {corpus._clock_sql('start_ms')} AS clock, CAST(start_ms AS BIGINT) AS ms FROM parsed")
 def q3_timecode_ms(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = subtitles.strip(F.col("lines")[1])
-    rows = subtitles.blocks(corpus.files(spark, sf_dir)).select(F.substring(line, 1, 12).alias("clock"), subtitles.clock_ms(line, 1).alias("ms"))
+    rows = subtitles.blocks(corpus.files(spark, sf_dir)).select(F.substring(line, 1, 12).alias("clock"), subtitles.clock_ms(line).alias("ms"))
     return rows.distinct()
 
 
@@ -186,9 +192,8 @@ def q17_job_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT source AS stem, doc_id, inputs FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS r, count(*) OVER (PARTITION BY source) AS inputs FROM documents) WHERE r = 1")
 def q18_stem_collision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # a greatest row and a count are partial aggregates, so a stem that many inputs share is no one task's
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.groupBy(F.col("source").alias("stem")).agg(F.max("doc_id").alias("doc_id"), F.count("*").alias("inputs"))
+    return retention.last_of_stem(docs.select(F.col("source").alias("stem"), "doc_id"), position="doc_id").select("stem", "doc_id", "inputs")
 
 
 _FRAMES = lambda ms, rate: f"CAST(round_even({ms} * {rate} / CAST(1000 AS DOUBLE), 0) AS BIGINT)"
@@ -214,9 +219,7 @@ _SPAN = f"max({_FRAMES('start_ms', 22050)} + CASE WHEN end_ms > start_ms THEN {_
 
 @query(f"{_TIMED} SELECT file_id, {_SPAN} AS frames, CAST({_SPAN} * 1000 // 22050 AS BIGINT) AS span_ms FROM timed GROUP BY file_id")
 def q21_timeline_span(spark: SparkSession, sf_dir: str) -> DataFrame:
-    window, at = F.col("end_ms") - F.col("start_ms"), lambda c: frames.frames(c, 22_050)
-    end = at(F.col("start_ms")) + F.when(window > 0, at(window)).otherwise(at(F.col("duration_ms")))
-    spans = _timed(spark, sf_dir).groupBy(_file()).agg(F.max(end).alias("frames"))
+    spans = align.span(_timed(spark, sf_dir), 22_050).select(_file(), "frames")
     return spans.withColumn("span_ms", frames.wav_duration_ms(F.col("frames"), F.lit(22_050)))
 
 
@@ -226,15 +229,46 @@ _SIGNAL = f"""signal AS (
 ), frame AS (SELECT file_id, ord, start_ms, amp, unnest(range(f, f + n)) AS frame FROM signal)"""
 
 
-@query(f"""WITH {corpus.CUES_SQL}, {_SIGNAL} SELECT file_id, frame, CAST(list_reduce(list_prepend(CAST(0 AS BIGINT), list(amp ORDER BY start_ms, ord)), lambda a, x: greatest(-32768, least(32767, a + x))) AS INTEGER) AS sample
-  FROM frame GROUP BY file_id, frame""")
+class Steady:
+    """A backend whose audio is one amplitude for the cue's stand-in duration."""
+
+    def __init__(self, rate: int) -> None:
+        self.rate = rate
+
+    def synthesize(self, segment: dict) -> bytes:
+        return wav.encode(np.full(round(segment["wanted_ms"] * self.rate / 1000), segment["amp"], np.int16), self.rate)
+
+
+def _steady(spark: SparkSession, sf_dir: str, rate: int) -> DataFrame:
+    """Cues with audio of a rate, synthesised."""
+    rows = corpus.cues(spark, sf_dir).select(F.col("file_id").cast("string").alias("file_id"), "ord", "index", "start_ms", "end_ms", "amp", F.col("duration_ms").alias("wanted_ms"))
+    return synthesize.synthesize(rows, Steady(rate))
+
+
+def _mapped(df: DataFrame, schema: str, row) -> DataFrame:
+    """Rows (tuples) that a function gives for each row of df (a dict), in Arrow batches."""
+    kind = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [r for x in batch.to_pylist() for r in row(x)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(kind)], names=kind.names)
+
+    return df.mapInArrow(run, schema)
+
+
+@query(f"""WITH {corpus.CUES_SQL}, {_SIGNAL} SELECT * FROM (
+  SELECT file_id, frame, CAST(list_reduce(list_prepend(CAST(0 AS BIGINT), list(amp ORDER BY start_ms, ord)), lambda a, x: greatest(-32768, least(32767, a + x))) AS INTEGER) AS sample
+  FROM frame GROUP BY file_id, frame) WHERE sample <> 0""")
 def q22_overlap_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    window, at = F.col("end_ms") - F.col("start_ms"), lambda c: frames.frames(c, LOW_RATE)
-    n = F.when(window > 0, F.least(at(F.col("duration_ms")), at(window))).otherwise(at(F.col("duration_ms")))
-    first = at(F.col("start_ms"))
-    rows = corpus.cues(spark, sf_dir).where(n > 0).select("file_id", "start_ms", "ord", F.col("amp").cast("int").alias("value"), F.explode(F.sequence(first, first + n - 1)).alias("frame"))
-    # the signals of a frame are the cues that overlap there
-    return rows.groupBy("file_id", "frame").agg(frames.mixed(F.collect_list(F.struct("start_ms", "ord", "value"))).alias("sample"))
+    """Whole timelines as they are rendered, at a low rate; frames that sound."""
+    chunks = render.render(_steady(spark, sf_dir, LOW_RATE), LOW_RATE, chunk=LOW_CHUNK)
+
+    def samples(x: dict) -> Iterator[tuple]:
+        pcm = np.frombuffer(x["pcm"], "<i2")
+        return ((int(x["file_id"]), x["chunk"] * LOW_CHUNK + k, int(pcm[k])) for k in np.flatnonzero(pcm).tolist())
+
+    return _mapped(chunks, "file_id bigint, frame bigint, sample int", samples)
 
 
 _SAMPLES = "list_transform(range(ord + 3), lambda i: CAST((idx * 7919 + i * 3571 * CASE WHEN i % 2 = 0 THEN 1 ELSE -1 END) % 30000 AS BIGINT))"
@@ -245,20 +279,118 @@ _SAMPLES = "list_transform(range(ord + 3), lambda i: CAST((idx * 7919 + i * 3571
   SELECT file_id, idx AS "index", array_to_string(CASE WHEN n = t THEN s ELSE list_transform(range(t), lambda i:
     CAST(trunc(s[CAST(floor(i * step) AS BIGINT) + 1] + (coalesce(s[CAST(floor(i * step) AS BIGINT) + 2], s[CAST(floor(i * step) AS BIGINT) + 1]) - s[CAST(floor(i * step) AS BIGINT) + 1]) * (i * step - floor(i * step))) AS BIGINT)) END, ',') AS fitted FROM g""")
 def q23_fit_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _samples(spark, sf_dir, (F.char_length("text") % 29 + 1).cast("bigint").alias("target"))
+    return _mapped(rows, "file_id bigint, index bigint, fitted string", lambda x: [(x["file_id"], x["index"], ",".join(map(str, render.fit(np.array(x["samples"], np.int16), x["target"]).tolist())))])
+
+
+def _samples(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
     value = lambda i: ((F.col("index") * 7919 + i * 3571 * F.when(i % 2 == 0, 1).otherwise(-1)) % 30000).cast("bigint")
-    rows = corpus.cues(spark, sf_dir).select("file_id", "index", F.transform(F.sequence(F.lit(0), F.col("ord") + 2), value).alias("samples"), (F.char_length("text") % 29 + 1).cast("bigint").alias("target"))
-    return rows.select("file_id", "index", F.array_join(F.transform(frames.fit(F.col("samples"), F.col("target")), lambda x: x.cast("string")), ",").alias("fitted"))
+    return corpus.cues(spark, sf_dir).select("file_id", "index", F.transform(F.sequence(F.lit(0), F.col("ord") + 2), value).alias("samples"), *more)
 
 
 @query(f"""WITH {corpus.CUES_SQL}, s AS (SELECT file_id, idx, {_SAMPLES} AS s, file_id % 2 + 2 AS c FROM cues)
   SELECT file_id, idx AS "index", array_to_string(list_transform(range(len(s) // c), lambda i: CAST(floor(list_sum(s[i * c + 1:(i + 1) * c]) / c) AS BIGINT)), ',') AS mono FROM s""")
 def q24_downmix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    value = lambda i: ((F.col("index") * 7919 + i * 3571 * F.when(i % 2 == 0, 1).otherwise(-1)) % 30000).cast("bigint")
-    rows = corpus.cues(spark, sf_dir).select("file_id", "index", F.transform(F.sequence(F.lit(0), F.col("ord") + 2), value).alias("samples"), (F.col("file_id") % 2 + 2).cast("int").alias("channels"))
-    return rows.select("file_id", "index", F.array_join(F.transform(frames.downmix(F.col("samples"), F.col("channels")), lambda x: x.cast("string")), ",").alias("mono"))
+    """WAV files of several channels, decoded."""
+    rows = _samples(spark, sf_dir, (F.col("file_id") % 2 + 2).cast("int").alias("channels"))
+    decoded = lambda x: wav.decode(wav.encode(np.array(x["samples"], np.int16), 8000, x["channels"]))[0].tolist()
+    return _mapped(rows, "file_id bigint, index bigint, mono string", lambda x: [(x["file_id"], x["index"], ",".join(map(str, decoded(x))))])
 
 
 @query(f"""{_WITH_RESOLVED} SELECT file_id, idx AS "index", CAST(start_ms AS BIGINT) AS start_ms, CAST(end_ms AS BIGINT) AS end_ms, clean AS text, rate, pitch,
   CASE WHEN end_ms > start_ms AND length(clean) * 60 > end_ms - start_ms THEN CAST(end_ms - start_ms AS DOUBLE) / CAST(length(clean) * 60 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS stretch_ratio FROM resolved""")
 def q25_end_to_end_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _timed(spark, sf_dir).select(_file(), "index", "start_ms", "end_ms", "text", "rate", "pitch", "stretch_ratio")
+
+
+@query(f"{_TIMED} SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY ord) - 1 AS pos, CAST(start_ms AS BIGINT) AS start_ms, CAST(end_ms AS BIGINT) AS end_ms, stretch_ratio, clean AS text FROM timed")
+def q26_plan_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON plans, read again."""
+    written = sinks.plan_json(corpus.files(spark, sf_dir), align.plan(_timed(spark, sf_dir)))
+    cues = F.from_json("json", "array<struct<start_ms:bigint,end_ms:bigint,stretch_ratio:double,text:string>>")
+    return written.select(_file(), F.posexplode(cues).alias("pos", "c")).select("file_id", F.col("pos").cast("bigint").alias("pos"), "c.*")
+
+
+@query(f"{_TIMED} SELECT file_id, '[' || start_ms || '–' || end_ms || '] ' || clean AS line FROM timed")
+def q27_console_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.console(align.plan(_timed(spark, sf_dir))).select(_file(), "line")
+
+
+@query(f"WITH {corpus.CUES_SQL} SELECT file_id, idx AS \"index\", 44 + 2 * {_FRAMES('duration_ms', 8000)} AS bytes, CAST({_FRAMES('duration_ms', 8000)} * 1000 // 8000 AS BIGINT) AS duration_ms FROM cues")
+def q28_synthesize_wav(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _steady(spark, sf_dir, 8000).select(_file(), "index", F.length("audio").cast("bigint").alias("bytes"), "duration_ms")
+
+
+_LOW_SPAN = f"max({_FRAMES('start_ms', LOW_RATE)} + CASE WHEN end_ms > start_ms THEN {_FRAMES('(end_ms - start_ms)', LOW_RATE)} ELSE {_FRAMES('duration_ms', LOW_RATE)} END)"
+
+
+@query(f"WITH {corpus.CUES_SQL} SELECT file_id, {_LOW_SPAN} AS frames, 44 + 2 * {_LOW_SPAN} AS bytes, substr(hex(CAST('RIFF' AS BLOB)), 1, 8) AS mark FROM cues GROUP BY file_id")
+def q29_wav_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rendered files, decoded again."""
+    whole = sinks.wav_files(render.render(_steady(spark, sf_dir, LOW_RATE), LOW_RATE, chunk=LOW_CHUNK), LOW_RATE)
+    return _mapped(whole, "file_id bigint, frames bigint, bytes bigint, mark string", lambda x: [(int(x["file_id"]), len(wav.decode(x["wav"])[0]), len(x["wav"]), x["wav"][:4].hex().upper())])
+
+
+@query(f"WITH {corpus.CUES_SQL}, n AS (SELECT file_id, idx, length(text) * 17 AS n, CASE (file_id + ord) % 4 {' '.join(f'WHEN {k} THEN {r}' for k, r in enumerate(_SPEEDS))} END AS rate FROM cues) SELECT file_id, idx AS \"index\", CAST(round_even(n * 22050 / CAST(rate AS DOUBLE), 0) AS BIGINT) AS n_samples FROM n")
+def q30_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rate = F.element_at(F.array(*map(F.lit, _SPEEDS)), ((F.col("file_id") + F.col("ord")) % 4 + 1).cast("int"))
+    rows = corpus.cues(spark, sf_dir).select("file_id", "index", (F.char_length("text") * 17).alias("n"), rate.alias("rate"))
+    return _mapped(rows, "file_id bigint, index bigint, n_samples bigint", lambda x: [(x["file_id"], x["index"], len(render.resample(np.arange(x["n"]).astype(np.int16), x["rate"], 22_050)))])
+
+
+# A listing of voices, with lines that are none.
+_LISTED = tuple(f"{name:<20}{code}    # sample" for name, code in CATALOGUE) + ("no voice here", "Bad en_US # narrow gap", "Two Words           pt-BR  # sample")
+_PARSED = (*((k, n, c) for k, (n, c) in enumerate(CATALOGUE)), (len(CATALOGUE) + 2, "Two Words", "pt-BR"))
+_PARSED_SQL = "(VALUES " + ", ".join(f"(CAST({k} AS INTEGER), '{n}', '{c}')" for k, n, c in _PARSED) + ") AS v(pos, name, locale)"
+
+
+def _listing(spark: SparkSession) -> DataFrame:
+    return voices.parse_catalogue(spark.createDataFrame(list(enumerate(_LISTED)), "pos int, line string"))
+
+
+@query(f"SELECT pos, name, locale FROM {_PARSED_SQL}")
+def q31_voice_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _listing(spark)
+
+
+@query(f"SELECT string_agg(base, ', ' ORDER BY base) AS languages FROM (SELECT DISTINCT split_part(lower(replace(locale, '-', '_')), '_', 1) AS base FROM {_PARSED_SQL})")
+def q32_base_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voices.base_languages(_listing(spark))
+
+
+@query(f"SELECT doc_id, CASE WHEN text IS NULL THEN NULL WHEN doc_id % 50 = 0 THEN 'too large' WHEN doc_id % 7 = 0 THEN 'not UTF-8' END AS reject FROM documents")
+def q33_upload_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    large = F.repeat(F.lit("x"), subtitles.UPLOAD_BYTES + 1).cast("binary")
+    content = F.when(F.col("text").isNotNull(), F.when(F.col("doc_id") % 50 == 0, large).when(F.col("doc_id") % 7 == 0, F.unhex(F.lit("C328"))).otherwise(F.col("text").cast("binary")))
+    return subtitles.accept_uploads(docs.select("doc_id", content.alias("content"))).select("doc_id", "reject")
+
+
+@query(f"""WITH {corpus.CUES_SQL}, e AS (SELECT file_id, idx, CASE WHEN start_ms - 150 < 0 THEN 'negative start' WHEN greatest(start_ms, end_ms) - 150 > {LOW_CAP} THEN 'beyond the timeline' WHEN (file_id + ord) % 17 = 0 THEN 'no audio' END AS error FROM cues)
+  SELECT file_id, idx AS "index", error FROM e WHERE file_id IN (SELECT file_id FROM e WHERE error IS NOT NULL)""")
+def q34_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All cues of files with a cue that starts too early, ends too late or has no audio."""
+    audio = F.when((F.col("file_id") + F.col("ord")) % 17 != 0, F.lit(b"audio"))
+    rows = corpus.cues(spark, sf_dir).select("file_id", "index", (F.col("start_ms") - 150).alias("start_ms"), (F.col("end_ms") - 150).alias("end_ms"), audio.alias("audio"))
+    return validate.quarantine(rows, LOW_CAP)[1].select("file_id", "index", "error")
+
+
+@query(f"{_TIMED} SELECT file_id, idx AS \"index\", stretch_ratio FROM timed")
+def q35_align_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Durations as a table of their own, joined by place."""
+    segments = _segments(spark, sf_dir)
+    durations = segments.select("file_id", "ord", (F.char_length("text").cast("bigint") * 60).alias("duration_ms"))
+    return align.align_pairs(segments, durations).select(_file(), "index", "stretch_ratio")
+
+
+@query(f"WITH {corpus.CUES_SQL} SELECT file_id, idx AS \"index\", CAST(CASE (file_id + ord) % 4 WHEN 0 THEN 22050 WHEN 1 THEN 16000 WHEN 2 THEN 8000 ELSE 22050 END AS INTEGER) AS rate FROM cues")
+def q36_logged_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    logs = (["starting", "[1, 2]"], ["starting", '{"audio": {"sample_rate": 16000}}'], ["{broken", '{"audio": {"sample_rate": "x"}}', '{"audio": {"sample_rate": "8000"}}'], ['{"audio": {}}', '{"audio": {"sample_rate": 8000}}'])
+    rows = corpus.cues(spark, sf_dir).select("file_id", "index", ((F.col("file_id") + F.col("ord")) % 4).alias("kind"))
+    return _mapped(rows, "file_id bigint, index bigint, rate int", lambda x: [(x["file_id"], x["index"], wav.logged_rate(logs[x["kind"]]))])
+
+
+@query(f"{_TIMED} SELECT file_id, idx AS \"index\", CAST((length(clean) * 60 * 22050 // 1000) * 1000 // 22050 AS BIGINT) AS duration_ms FROM timed")
+def q37_run_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole run with the stand-in voice: parsed, tagged, synthesised, timed."""
+    return run.run_texts(corpus.files(spark, sf_dir), synthesize.Tone()).timed.select(_file(), "index", "duration_ms")

@@ -19,6 +19,8 @@ UPLOAD_BYTES = 1 << 20
 
 _CLOCK = r"(\d{2}):(\d{2}):(\d{2}),(\d{3})"
 TIMECODE = rf"^{_CLOCK}[{SPACE}]*-->[{SPACE}]*{_CLOCK}"
+#: The same, with the second clock whole; the first is the line's first twelve characters.
+_SECOND = rf"^{_CLOCK.replace('(', '(?:')}[{SPACE}]*-->[{SPACE}]*({_CLOCK.replace('(', '(?:')})"
 
 
 def read_files(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
@@ -46,9 +48,9 @@ def accept_uploads(files: DataFrame, content: str = "content") -> DataFrame:
     return files.withColumn("reject", F.when(F.length(data) > UPLOAD_BYTES, "too large").when(~F.is_valid_utf8(data.cast("string")), "not UTF-8"))
 
 
-def clock_ms(line: Column, first: int) -> Column:
-    """Milliseconds of one of a timecode line's two clocks (its first group is 1 or 5)."""
-    part = [F.regexp_extract(line, TIMECODE, first + k).try_cast("bigint") for k in range(4)]
+def clock_ms(clock: Column) -> Column:
+    """Milliseconds of a clock 00:00:00,000, which a text may follow."""
+    part = [F.substring(clock, at, size).try_cast("bigint") for at, size in ((1, 2), (4, 2), (7, 2), (10, 3))]
     return part[0] * 3_600_000 + part[1] * 60_000 + part[2] * 1000 + part[3]
 
 
@@ -87,11 +89,17 @@ def parse(docs: DataFrame) -> DataFrame:
     first, or no timecode at the start of the second. Text after a timecode is
     ignored. A null body has no cues.
     """
-    rows = blocks(docs).where(F.size("lines") >= 3)
-    rows = rows.select("file_id", "ord", "lines", integer(F.col("lines")[0]).alias("index"), _timecode(F.col("lines")).alias("line"))
-    rows = rows.where(F.col("index").isNotNull() & F.col("line").rlike(TIMECODE))
-    text = F.array_join(F.slice("lines", F.lit(3), F.size("lines")), "\n")
-    return rows.select("file_id", "ord", "index", clock_ms(F.col("line"), 1).alias("start_ms"), clock_ms(F.col("line"), 5).alias("end_ms"), text.alias("text"))
+    split = docs.select("file_id", F.posexplode(_split(F.col("body"))).alias("ord", "block"))
+    # lambdas over arrays of one, and the generator, bind each line once; the timecode is matched once
+
+    def cue(x: Column) -> Column:
+        line = F.transform(F.array(_timecode(x)), lambda t: F.struct(x.alias("lines"), integer(F.get(x, F.lit(0))).alias("index"), t.alias("line"), F.regexp_extract(t, _SECOND, 1).alias("second")))
+        return F.when(F.size(x) >= 3, F.get(line, F.lit(0)))
+
+    rows = split.select("file_id", "ord", F.explode(F.transform(F.array(_lines(F.col("block"))), cue)).alias("c"))
+    rows = rows.where(F.col("c.index").isNotNull() & (F.col("c.second") != ""))
+    text = F.array_join(F.slice("c.lines", F.lit(3), F.size("c.lines")), "\n")
+    return rows.select("file_id", "ord", "c.index", clock_ms(F.col("c.line")).alias("start_ms"), clock_ms(F.col("c.second")).alias("end_ms"), text.alias("text"))
 
 
 def parse_or_plain(docs: DataFrame) -> DataFrame:

@@ -8,7 +8,10 @@ import subprocess
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-LISTING = r"^(.*?)\s{2,}([a-zA-Z]{2,3}[-_][a-zA-Z]{2,})\s+#"
+from cueforge.functions.text import strip
+
+#: Where a listing's line tells the locale: a code of two parts between a wide gap and the mark of a sample text.
+CODE = r"\s{2,}(\p{Alpha}{2,3}[_-]\p{Alpha}{2,})\s+#"
 
 
 def installed(spark: SparkSession, timeout_s: int = 30) -> DataFrame:
@@ -22,7 +25,8 @@ def installed(spark: SparkSession, timeout_s: int = 30) -> DataFrame:
 def parse_catalogue(lines: DataFrame) -> DataFrame:
     """Voices of a listing's lines (pos, line): (pos, name, locale); other lines are ignored."""
     line = F.col("line")
-    return lines.where(line.rlike(LISTING)).select("pos", F.trim(F.regexp_extract(line, LISTING, 1)).alias("name"), F.regexp_extract(line, LISTING, 2).alias("locale"))
+    name = F.get(F.split(line, CODE, 2), F.lit(0))
+    return lines.where(line.rlike(CODE)).select("pos", strip(name).alias("name"), F.regexp_extract(line, CODE, 1).alias("locale"))
 
 
 def normal_locale(locale: Column) -> Column:

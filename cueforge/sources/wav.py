@@ -8,38 +8,44 @@ import struct
 import numpy as np
 
 DEFAULT_RATE = 22_050
+# Format tags of files whose samples are plain numbers.
+PCM, EXTENSIBLE = 1, 0xFFFE
 
 
 def decode(data: bytes) -> tuple[np.ndarray, int]:
     """Mono samples and rate of a RIFF file; several channels become their mean, rounded down."""
     if len(data) < 12 or data[:4] != b"RIFF" or data[8:12] != b"WAVE":
-        raise ValueError("segment audio is not valid WAV data")
+        raise ValueError("audio is not valid: no RIFF/WAVE header")
     at, layout = 12, None
     while at + 8 <= len(data):
         kind, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
         if kind == b"fmt ":
+            if size < 16 or len(data) < at + 24:
+                raise ValueError("audio is not valid: its format chunk is too short")
             layout = struct.unpack_from("<HHIIHH", data, at + 8)
         elif kind == b"data" and layout:
-            _, channels, rate, _, _, width = layout
+            form, channels, rate, _, _, width = layout
+            if form not in (PCM, EXTENSIBLE) or not channels or not rate:
+                raise ValueError(f"audio is no PCM: format {form}, {channels} channels, {rate} Hz")
             if width != 16:
-                raise ValueError(f"unsupported WAV sample width: {width}-bit (expected 16-bit PCM)")
+                raise ValueError(f"audio has {width}-bit samples; only 16-bit ones are read")
             body = data[at + 8 : at + 8 + size]
             samples = np.frombuffer(body[: len(body) // (2 * channels) * 2 * channels], "<i2")
             if channels > 1:
                 samples = (samples.reshape(-1, channels).astype(np.int64).sum(1) // channels).astype(np.int16)
             return samples, rate
         at += 8 + size + size % 2
-    raise ValueError("segment audio is not valid WAV data")
+    raise ValueError("audio is not valid: no format or no data chunk")
 
 
-def header(n_bytes: int, rate: int) -> bytes:
-    return b"RIFF" + struct.pack("<I", 36 + n_bytes) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, rate, 2 * rate, 2, 16) + b"data" + struct.pack("<I", n_bytes)
+def header(n_bytes: int, rate: int, channels: int = 1) -> bytes:
+    return b"RIFF" + struct.pack("<I", 36 + n_bytes) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, PCM, channels, rate, 2 * channels * rate, 2 * channels, 16) + b"data" + struct.pack("<I", n_bytes)
 
 
-def encode(samples: np.ndarray, rate: int = DEFAULT_RATE) -> bytes:
-    """A mono 16-bit WAV file; raw PCM bytes are wrapped likewise."""
+def encode(samples: np.ndarray, rate: int = DEFAULT_RATE, channels: int = 1) -> bytes:
+    """A 16-bit WAV file of interleaved samples, mono by default; raw PCM bytes are wrapped likewise."""
     body = samples if isinstance(samples, bytes) else np.asarray(samples, "<i2").tobytes()
-    return header(len(body), rate) + body
+    return header(len(body), rate, channels) + body
 
 
 def duration_ms(data: bytes) -> int:

@@ -1,4 +1,5 @@
 import json
+import subprocess
 
 import numpy as np
 import pytest
@@ -123,3 +124,56 @@ def test_stream(spark, tmp_path):
     run = arrivals.cue_stream(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("cues").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     run.awaitTermination(60)
     assert [(r["index"], r.text) for r in spark.table("cues").collect()] == [(1, "Hello")]
+
+
+def test_formats_that_are_not_read():
+    good = wav.encode(np.array([1, -2, 3, 4], np.int16), 8000)
+    assert wav.decode(good[:20] + b"\xfe\xff" + good[22:])[0].tolist() == [1, -2, 3, 4]
+    for data in (good[:20] + b"\x06\x00" + good[22:], good[:22] + b"\x00\x00" + good[24:], good[:16] + b"\x04\x00\x00\x00" + good[20:24] + b"data\x00\x00\x00\x00", good[:30], good[:36], b""):
+        with pytest.raises(ValueError):
+            wav.decode(data)
+    assert wav.decode(wav.encode(np.array([1, 4, -3, -4], np.int16), 8000, channels=2))[0].tolist() == [2, -4]
+
+
+def test_audio_of_no_samples_reaches_its_start(spark):
+    """A cue without samples or window is silence up to its start; a file of nothing else still has a timeline."""
+    none = wav.encode(np.zeros(0, np.int16), 1000)
+    rows = [("a", 0, 1, 500, 500, none), ("b", 0, 1, 0, 0, none), ("c", 0, 1, 0, 3, steady(2, 7)), ("c", 1, 2, 9, 9, none)]
+    chunks = render.render(spark.createDataFrame(rows, TIMED), 1000, chunk=256).collect()
+    got = {}
+    for r in sorted(chunks, key=lambda r: (r.file_id, r.chunk)):
+        got.setdefault(r.file_id, []).extend(np.frombuffer(r.pcm, "<i2").tolist())
+    assert got["a"] == [0] * 500 and got["b"] == [] and len(got["c"]) == 9
+
+
+def test_programs_are_called_as_they_ask(monkeypatch, tmp_path):
+    """say and piper, with the calls recorded instead of run."""
+    calls = []
+
+    def run(command, input=b"", **options):
+        calls.append((command, input, options["timeout"], options["check"]))
+        if command[0] == "afconvert":
+            with open(command[-1], "wb") as f:
+                f.write(wav.encode(np.ones(5, np.int16)))
+        return subprocess.CompletedProcess(command, 0, b"\x01\x00\x02\x00", b'noise\n{"audio": {"sample_rate": 16000}}\n')
+
+    monkeypatch.setattr(subprocess, "run", run)
+    monkeypatch.setattr("shutil.which", lambda name: f"/bin/{name}")
+    audio = synthesize.Piper("m.onnx").synthesize({"text": "a; $(b)", "tags": [], "language": "xx"})
+    assert wav.decode(audio)[0].tolist() == [1, 2] and wav.decode(audio)[1] == 16_000
+    assert calls == [(["piper", "--model", "m.onnx", "--output_raw"], b"a; $(b)", 60, True)]
+    calls.clear()
+    said = synthesize.Say().synthesize({"spoken": "[[ pbas 30 ]] hi", "voice": "Ada", "rate": 130})
+    assert len(wav.decode(said)[0]) == 5 and [c[0][0] for c in calls] == ["say", "afconvert"]
+    assert calls[0][0][1:5] == ["-v", "Ada", "-r", "130"] and calls[0][1] == b"[[ pbas 30 ]] hi"
+    calls.clear()
+    synthesize.Say().synthesize({"spoken": "hi", "voice": None, "rate": None})
+    assert "-v" not in calls[0][0] and "-r" not in calls[0][0]
+    assert isinstance(synthesize.backend("auto", "m"), synthesize.Piper)
+    monkeypatch.setattr("shutil.which", lambda name: None)
+    assert isinstance(synthesize.backend("auto"), synthesize.Say)
+    for by in (synthesize.Say(), synthesize.Piper("m")):
+        with pytest.raises(RuntimeError, match="not found"):
+            by.synthesize({"spoken": "x", "text": "x"})
+    with pytest.raises(ValueError, match="unknown backend"):
+        synthesize.backend("other")

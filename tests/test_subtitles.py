@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,3 +60,13 @@ def test_files_and_uploads(spark, tmp_path):
 def test_parse_is_one_narrow_stage(spark):
     plan = subtitles.parse(spark.createDataFrame([("a", GOOD)], "file_id string, body string")).select(F.col("text"))
     assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_long_runs_of_white_space_take_linear_time(spark):
+    """An inner run of a mebibyte of blanks, in a text, in a cue and in a number."""
+    run = " " * (1 << 20)
+    bodies = [("a", f"x{run}y"), ("b", f"1\n00:00:01,000 --> 00:00:02,500 tail\none{run}two"), ("c", f"1{run}1\n00:00:01,000 --> 00:00:02,500\nz")]
+    docs = spark.createDataFrame(bodies, "file_id string, body string")
+    began = time.perf_counter()
+    got = {r.file_id: (r["index"], r.start_ms, r.end_ms, len(r.text)) for r in subtitles.parse_or_plain(docs).collect()}
+    assert got == {"a": (1, 0, 0, len(run) + 2), "b": (1, 1000, 2500, len(run) + 6), "c": (1, 0, 0, len(bodies[2][1]))} and time.perf_counter() - began < 30
