@@ -143,8 +143,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     then true. row_col names a column of longs that tells rows apart: it is
     returned as well, and kept marks the rows of one value of it in a component,
     the least of the smallest id (a null id comes last), and rows without
-    shingles. Other columns of df are not read. Works in eager steps that
-    write to the shared checkpoint folder.
+    shingles. An empty table gives an empty one. Texts may be of any length: a
+    task works on a bounded length of texts, at least on one. Other columns of
+    df are not read. Works in eager steps that write to the shared checkpoint
+    folder.
     """
     kind = df.schema[id_col].dataType.simpleString()
     most = most_mismatches(percent)

@@ -131,7 +131,8 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Returns (keep..., id, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, n_lost_words long, base_failed, kept boolean), one row for
-    each row in. A null text counts as empty and fails the base rules; a null
+    each row in; an empty table gives an empty one, and texts may be of any
+    length. A null text counts as empty and fails the base rules; a null
     host is a host of its own; ids may be null or repeated; columns of df that
     are not named are not read. keep names further columns to return.
     cleaned_col names a last column for the text without its boilerplate lines

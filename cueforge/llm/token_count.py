@@ -116,7 +116,8 @@ def token_counts(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
     """Tokens of every whole text: (id, n_bytes long, n_tokens long).
 
     A narrow map, one row out for each row in, without begin or end tokens.
-    Null and empty texts have 0 of both; repeated rows are counted each; ids
+    Null and empty texts have 0 of both, an empty table gives an empty one, and
+    long texts are counted in slices; repeated rows are counted each; ids
     may be null; other columns of df are not read. tokenizer is the path of a
     word-level vocabulary file that every executor can open.
     """
