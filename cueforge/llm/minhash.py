@@ -40,7 +40,7 @@ SLACK = 5.0
 BLOCK_BYTES, BLOCK_ROWS = 8 << 20, 512
 #: Bytes of text, and rows, that are signed or confirmed at a time.
 PART_BYTES, PART_ROWS = 4 << 20, 4096
-#: Row keys that are broadcast to the scan of the texts; more are joined by a shuffle.
+#: Row keys, or buckets, that are broadcast; more are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
 
 _SEEDS = mix(np.arange(1, MINIMA + 1, dtype=np.uint64))
@@ -132,6 +132,12 @@ def _texts(rows: DataFrame, keys: DataFrame) -> DataFrame:
     return found.groupBy("cls").agg(F.first("text").alias("text")) if not few else found.dropDuplicates(["cls"]).select("cls", "text")
 
 
+def _small(keys: DataFrame) -> DataFrame:
+    """keys, worked out once and broadcast if they are few."""
+    keys = checkpointed(keys)
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, row_col: str | None = None) -> DataFrame:
     """Group documents whose sets of word shingles (of shingle words each) have 100 * intersection >= percent * union, links being transitive.
 
@@ -155,14 +161,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for batch in batches:
             for part in _split(batch, 2):
                 size, whole, bands, low = signatures(part.column(2), shingle)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(size, pa.int64()), pa.array(whole.view(np.int64)), _listed(bands), _listed(low)], names=["row", "id", "n", "cls", "bands", "low"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(size, pa.int64()), pa.array(whole.view(np.int64)), pa.compute.cast(pa.compute.fill_null(pa.compute.binary_length(part.column(2)), 0), pa.int64()), _listed(bands), _listed(low)], names=["row", "id", "n", "cls", "bytes", "bands", "low"])
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *([F.col(row_col).alias("row")] if row_col else []))
     rows = rows.select((F.col("row") if row_col else F.xxhash64("id", "text")).alias("row"), "id", "text")
-    signed = checkpointed(rows.mapInArrow(sign, f"row long, id {kind}, n long, cls long, bands array<long>, low array<long>"))
+    signed = checkpointed(rows.mapInArrow(sign, f"row long, id {kind}, n long, cls long, bytes long, bands array<long>, low array<long>"))
     first = F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("row").alias("row"))
     # one row for each distinct set
-    least = signed.where("n > 0").groupBy("cls").agg(F.min("id").alias("id"), F.min(first).alias("first"), F.min("row").alias("row"), F.max("n").alias("n"), F.first("bands").alias("bands"), F.first("low").alias("low"))
+    least = signed.where("n > 0").groupBy("cls").agg(F.min("id").alias("id"), F.min(first).alias("first"), F.min("row").alias("row"), F.max("n").alias("n"), F.max("bytes").alias("bytes"), F.first("bands").alias("bands"), F.first("low").alias("low"))
     classes = checkpointed(least)
     buckets = classes.select("cls", F.posexplode("bands").alias("band", "key"))
     shared = buckets.groupBy("key").agg(F.min("cls").alias("leader"), F.count("*").alias("m")).where("m > 1")
@@ -189,18 +195,21 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # buckets that still hold several components, and more than the one pair that has been compared
     labelled = members.where("m > 2").join(groups.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     split = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    left = checkpointed(labelled.join(split, "key").select("key", "band", "cls", "component"))
+    left = checkpointed(labelled.join(_small(split), "key").select("key", "band", "cls", "component").join(classes.select("cls", "bytes"), "cls"))
+    # sizes come from narrow rows, so that no exchange by bucket carries texts; most buckets are one block
+    size = left.groupBy("key").agg(F.ceil(F.greatest(F.sum("bytes") / F.lit(float(BLOCK_BYTES)), F.count("*") / F.lit(float(BLOCK_ROWS)))).cast("int").alias("blocks")).where("blocks > 1")
+    held = left.drop("bytes").join(_small(size), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     texts = _texts(rows, left.select("cls").distinct().join(row_of, "cls"))
     # of a bucket's components, the largest needs no comparison within itself
-    held = left.join(texts, "cls").join(classes.select("cls", "n", "low", "bands"), "cls")
-    size = held.groupBy("key").agg(F.ceil(F.greatest(F.sum(F.octet_length("text")) / F.lit(float(BLOCK_BYTES)), F.count("*") / F.lit(float(BLOCK_ROWS)))).cast("int").alias("blocks"))
-    held = held.join(size, "key").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    # a task for each pair of blocks, the pair of a block with itself included
-    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j")))).alias("task")
-    tasks = held.select("key", "band", "cls", "component", "n", "low", "bands", "own", "text", pair).select("*", "task.i", "task.j").drop("task")
+    held = held.join(texts, "cls").join(classes.select("cls", "n", "low", "bands"), "cls").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    # a task for each pair of blocks, the pair of a block with itself included; one column
+    # names it, as rows that lie together by key alone would put all tasks of a bucket in one
+    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.col("key"), F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j")))
+    tasks = held.select("band", "cls", "component", "n", "low", "bands", "own", "text", F.explode(pair).alias("task"))
 
     def compare(table: pa.Table) -> pa.Table:
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        task = table.column("task")[0].as_py()
+        i, j = task["i"], task["j"]
         own = table.column("own").to_numpy()
         found = _joining(
             table.column("band")[0].as_py(), table.column("cls").to_numpy(), table.column("component").to_numpy(), table.column("n").to_numpy(), *(np.array(table.column(x).to_pylist(), np.int64).view(np.uint64) for x in ("low", "bands")),
@@ -208,7 +217,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         )
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    more = checkpointed(tasks.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long"))
+    more = checkpointed(tasks.groupBy("task").applyInArrow(compare, "a long, b long"))
     if not more.isEmpty():
         groups = components(links.union(more))
     named = classes.select("cls", "id", "first").join(groups.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))

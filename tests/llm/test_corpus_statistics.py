@@ -168,8 +168,11 @@ def test_near_duplicates(make_docs, corpus, n, percent):
     assert sum(not x[3] for x in want) > 15
 
 
-def test_chain_in_one_bucket(make_docs):
-    """A line of texts in which only neighbours are near: no leader is near to all."""
+@pytest.mark.parametrize("block,few", [(512, 1_000_000), (4, 1_000_000), (4, 0)])
+def test_chain_in_one_bucket(make_docs, monkeypatch, block, few):
+    """A line of texts in which only neighbours are near: no leader is near to all. Blocks may be small, and joins by shuffle."""
+    monkeypatch.setattr("cueforge.llm.minhash.BLOCK_ROWS", block)
+    monkeypatch.setattr("cueforge.llm.minhash.BROADCAST_KEYS", few)
     rows = [(k, " ".join(f"w{j}" for j in range(4 * k, 4 * k + 120))) for k in range(30)]
     want = brute_groups(rows)
     assert {x[2] for x in want} == {0} and sorted(near(rows, make_docs)) == sorted(want)
