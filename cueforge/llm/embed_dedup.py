@@ -40,6 +40,8 @@ CELLS_OF = 8
 EPSILON = 4.0
 #: Vectors in a block of a cell.
 BLOCK = 2048
+#: Cells whose numbers of blocks are broadcast; there are as many as centres, for each length of vectors.
+BROADCAST_CELLS = 1_000_000
 _TILE = 512
 
 
@@ -142,16 +144,19 @@ def embedding_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str
                 cells = pa.ListArray.from_arrays(pa.array(np.arange(len(unit) + 1, dtype=np.int32) * near.shape[1]), pa.array(near.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), cells, pa.array(np.full(len(unit), d), pa.int32())], names=["cls", "weight", "vector", "cells", "d"])
 
-    placed = classes.select("cls", "weight", "vector").mapInArrow(assign, "cls long, weight long, vector array<double>, cells array<int>, d int")
+    # cells are found once, whatever reads them
+    placed = checkpointed(classes.select("cls", "weight", "vector").mapInArrow(assign, "cls long, weight long, vector array<double>, cells array<int>, d int"))
     placed = placed.withColumn("cell", F.explode("cells"))
-    size = placed.groupBy("d", "cell").agg(F.ceil(F.count("*") / F.lit(float(BLOCK))).cast("int").alias("blocks"))
-    placed = placed.join(size, ["d", "cell"]).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j")))).alias("task")
-    tasks = placed.select("d", "cell", "cls", "weight", "vector", "cells", "own", pair).select("*", "task.i", "task.j").drop("task")
+    size = checkpointed(placed.groupBy("d", "cell").agg(F.ceil(F.count("*") / F.lit(float(BLOCK))).cast("int").alias("blocks")))
+    placed = placed.join(F.broadcast(size) if size.count() <= BROADCAST_CELLS else size, ["d", "cell"]).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    # one column names a task, as rows that lie together by cell alone would put all tasks of a cell in one
+    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.col("d"), F.col("cell"), F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j")))
+    tasks = placed.select("cls", "weight", "vector", "cells", "own", F.explode(pair).alias("task"))
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        i, j, cell = (table.column(c)[0].as_py() for c in ("i", "j", "cell"))
+        task = table.column("task")[0].as_py()
+        i, j, cell = task["i"], task["j"], task["cell"]
         cls, weight, own = (table.column(c).to_numpy() for c in ("cls", "weight", "own"))
         cells = table.column("cells").chunk(0).flatten().to_numpy().reshape(len(cls), -1)
         counts, joins = _block(cell, cls, weight, _units(table.column("vector").chunk(0)), cells, None if i == j else own == i, threshold)
@@ -162,7 +167,7 @@ def embedding_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str
             "n": pa.array([*counts[linked].tolist(), *[None] * len(joins)], pa.int64()),
         })
 
-    found = checkpointed(tasks.groupBy("d", "cell", "i", "j").applyInArrow(compare, "a long, b long, n long"))
+    found = checkpointed(tasks.groupBy("task").applyInArrow(compare, "a long, b long, n long"))
     counts = found.where("b is null").groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("links"))
     groups = components(found.where("b is not null"))
     named = classes.select("cls", "id", "weight").join(groups.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
