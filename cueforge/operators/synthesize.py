@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from cueforge.functions import prosody
 from cueforge.sources import wav
 
+#: Bytes of audio that are gathered before they leave the worker; a segment may have more.
+PART_BYTES = 8 << 20
+
 
 class Backend(Protocol):
     """Renders one segment (a row as a dict: text, tags, language, ...) to WAV bytes.
@@ -89,19 +92,30 @@ def resolve(segments: DataFrame) -> DataFrame:
 
 
 def synthesize(segments: DataFrame, by: Backend, partitions: int | None = None) -> DataFrame:
-    """Add audio and duration_ms. Slow segments are spread by (file_id, ord) over partitions if a number is given."""
+    """Add audio and duration_ms. Slow segments are spread by (file_id, ord) over partitions if a number is given.
+
+    Audio is many times its text, so a batch of segments comes out in parts of PART_BYTES of audio.
+    """
     rows = segments.repartition(partitions, "file_id", "ord") if partitions else segments
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", audio binary, duration_ms bigint"
     names = [*rows.columns, "audio", "duration_ms"]
 
+    def part(rows: pa.RecordBatch, audio: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*rows.columns, pa.array(audio, pa.binary()), pa.array(map(wav.duration_ms, audio), pa.int64())], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            audio = []
+            done, size, audio = 0, 0, []
             for row in batch.to_pylist():
                 try:
                     audio.append(by.synthesize(row))
                 except (OSError, ValueError, subprocess.SubprocessError) as error:
                     raise RuntimeError(f"Segment synthesis failed: {error}") from error
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(audio, pa.binary()), pa.array(map(wav.duration_ms, audio), pa.int64())], names=names)
+                size += len(audio[-1])
+                if size >= PART_BYTES:
+                    yield part(batch.slice(done, len(audio)), audio)
+                    done, size, audio = done + len(audio), 0, []
+            if audio:
+                yield part(batch.slice(done), audio)
 
     return rows.mapInArrow(run, schema)

@@ -2,6 +2,7 @@ import json
 import subprocess
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,3 +178,30 @@ def test_programs_are_called_as_they_ask(monkeypatch, tmp_path):
             by.synthesize({"spoken": "x", "text": "x"})
     with pytest.raises(ValueError, match="unknown backend"):
         synthesize.backend("other")
+
+
+def test_audio_leaves_in_parts(spark):
+    class Rows:
+        """Gives the function that a plan would run."""
+
+        schema, columns = spark.createDataFrame([], "file_id string, ord int").schema, ["file_id", "ord"]
+        mapInArrow = staticmethod(lambda run, schema: run)  # noqa: N815
+
+    class Large:
+        calls = 0
+
+        def synthesize(self, segment):
+            self.calls += 1
+            return steady(1000 * (segment["ord"] % 5), segment["ord"])
+
+    by = Large()
+    most = getattr(synthesize, "PART_BYTES", 8 << 20)
+    batches = [pa.RecordBatch.from_pydict({"file_id": ["x"] * n, "ord": pa.array(range(n), pa.int32())}) for n in (1000, 0, 7)]
+    calls, found = [], []
+    for part in synthesize.synthesize(Rows(), by)(iter(batches)):
+        calls.append(by.calls)
+        assert part.column("audio").nbytes < most + (1 << 20)
+        found += part.to_pylist()
+    assert calls[0] < 250 and calls[-1] == 1007
+    assert [r["ord"] for r in found] == [*range(1000), *range(7)]
+    assert all(r["audio"] == steady(1000 * (r["ord"] % 5), r["ord"]) and r["duration_ms"] == 1000 * (r["ord"] % 5) for r in found)
