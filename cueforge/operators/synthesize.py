@@ -6,6 +6,7 @@ import shutil
 import subprocess
 import tempfile
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from pathlib import Path
 from typing import Protocol
 
@@ -19,6 +20,8 @@ from cueforge.sources import wav
 
 #: Bytes of audio that are gathered before they leave the worker; a segment may have more.
 PART_BYTES = 8 << 20
+#: Frames of a tone that are drawn at a time; a worker keeps the first few such parts, as each tone is the start of a longer one.
+TONE_FRAMES = 1 << 20
 
 
 class Backend(Protocol):
@@ -39,7 +42,16 @@ class Tone:
 
     def synthesize(self, segment: dict) -> bytes:
         n = len(segment["text"]) * self.ms_per_char * self.rate // 1000
-        return wav.encode((self.amplitude * np.sin(np.arange(n) * (2 * np.pi * 220 / self.rate))).astype(np.int16), self.rate)
+        out = np.empty(n, "<i2")
+        for k in range(0, n, TONE_FRAMES):
+            out[k : k + TONE_FRAMES] = _tone(k, self.rate, self.amplitude)[: n - k]
+        return wav.encode(out, self.rate)
+
+
+@lru_cache(maxsize=8)
+def _tone(first: int, rate: int, amplitude: int) -> np.ndarray:
+    """TONE_FRAMES frames of the tone that all texts share, from a frame on."""
+    return (amplitude * np.sin(np.arange(first, first + TONE_FRAMES) * (2 * np.pi * 220 / rate))).astype("<i2")
 
 
 class Say:

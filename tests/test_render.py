@@ -1,5 +1,6 @@
 import json
 import subprocess
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -205,3 +206,17 @@ def test_audio_leaves_in_parts(spark):
     assert calls[0] < 250 and calls[-1] == 1007
     assert [r["ord"] for r in found] == [*range(1000), *range(7)]
     assert all(r["audio"] == steady(1000 * (r["ord"] % 5), r["ord"]) and r["duration_ms"] == 1000 * (r["ord"] % 5) for r in found)
+
+
+def test_tones_of_any_length_take_little_beside_them():
+    want = lambda n: (8000 * np.sin(np.arange(n) * (2 * np.pi * 220 / RATE))).astype(np.int16)
+    tone = synthesize.Tone()
+    for chars in (0, 1, 517, 2029, 20_000, 3):
+        assert tone.synthesize({"text": "x" * chars}) == wav.encode(want(chars * 60 * RATE // 1000))
+    tracemalloc.start()
+    try:
+        size = len(tone.synthesize({"text": "x" * 20_000}))
+        # the samples, their bytes and the file; one part in the making
+        assert tracemalloc.get_traced_memory()[1] < 3 * size + (64 << 20)
+    finally:
+        tracemalloc.stop()
