@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cueforge.llm.bpe import bpe_encode
-from cueforge.llm.common import checkpointed, shared_folder
+from cueforge.llm.common import checkpointed, narrow, shared_folder
 from cueforge.llm.minhash import near_duplicates
 from cueforge.llm.mixing import mix_sources
 from cueforge.llm.quality import quality_rules
@@ -28,8 +28,8 @@ REPETITIONS = 2.0
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _without(docs: DataFrame, rejected: DataFrame, key: str) -> DataFrame:
-    rejected = checkpointed(rejected.where(F.col(key).isNotNull()).select(key).distinct())
+def _without(docs: DataFrame, rejected: DataFrame, key: str, most: int) -> DataFrame:
+    rejected = checkpointed(narrow(rejected.where(F.col(key).isNotNull()).select(key).distinct(), most))
     return docs.join(F.broadcast(rejected) if rejected.count() <= BROADCAST_IDS else rejected, key, "left_anti")
 
 
@@ -47,9 +47,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     documents without shingles are no copies, and all stay.
     """
     docs = docs.withColumn("_doc", F.xxhash64(*COLUMNS))
-    found = checkpointed(near_duplicates(docs, row_col="_doc").select("_doc", "n_shingles", "kept"))
-    equal = checkpointed(found.where("kept and n_shingles > 0").groupBy("_doc").agg(F.count("*").alias("rows")).where("rows > 1").select("_doc"))
-    left = _without(docs, found.where("not kept").select("_doc").union(equal), "_doc").select(*COLUMNS)
+    most = docs.count()
+    found = checkpointed(narrow(near_duplicates(docs, row_col="_doc").select("_doc", "n_shingles", "kept"), 2 * most))
+    equal = checkpointed(narrow(found.where("kept and n_shingles > 0").groupBy("_doc").agg(F.count("*").alias("rows")).where("rows > 1").select("_doc"), most))
+    left = _without(docs, found.where("not kept").select("_doc").union(equal), "_doc", most).select(*COLUMNS)
     n = equal.count()
     if not n:
         return left

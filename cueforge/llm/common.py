@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Where lineage is cut in local mode if the session names no folder.
 LOCAL_CHECKPOINTS = "/tmp/cueforge-checkpoints"
+#: Narrow rows that one task takes before they are worth a second.
+NARROW_ROWS = 100_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,6 +34,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def narrow(df: DataFrame, rows: int) -> DataFrame:
+    """df, whose last step goes through at most that many narrow rows, in as many parts as so many are worth, whatever the shuffle's number.
+
+    Each part is a file of a checkpoint. Where Hadoop has no native library, the
+    local file system starts two processes for a file, as copies of the executor.
+    """
+    return df.coalesce(_parts(rows))
+
+
+def gathered(df: DataFrame, rows: int) -> DataFrame:
+    """df, of at most that many narrow rows that are much work, dealt once more into as many parts as the rows are worth."""
+    return df.repartition(_parts(rows))
+
+
+def _parts(rows: int) -> int:
+    return max(1, -(-rows // NARROW_ROWS))
+
+
 def text_bytes(df: DataFrame, text_col: str) -> int:
     """The bytes of a column's texts, added up by one job that reads that column; estimates go by types' widths and stored sizes."""
     return int(df.agg(F.sum(F.octet_length(F.col(text_col).cast("string")).cast("long"))).first()[0] or 0)
@@ -58,7 +78,7 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
     node are absent from the result; an empty edge list gives an empty result.
     """
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null and u <> v")
-    e = checkpointed(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    e = checkpointed(narrow(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), e.count()))
     n, total = _signature(e)
     while n:
         # large star: a node's larger neighbours are tied to the least of its neighbourhood
@@ -70,7 +90,8 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m")), F.struct(F.col("v").alias("u"), F.col("m")))).alias("x"))
         small = small.select(F.col("x.u").alias("u"), F.col("x.m").alias("v")).where("u <> v").distinct()
-        e = checkpointed(small)
+        # two for each edge of the large star, which has two for each edge at most
+        e = checkpointed(narrow(small, 4 * n))
         now = _signature(e)
         if now == (n, total):
             break

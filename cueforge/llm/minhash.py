@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cueforge.llm.chunked import column
-from cueforge.llm.common import checkpointed, components
+from cueforge.llm.common import checkpointed, components, gathered, narrow
 from cueforge.llm.wordhash import mix, words_of
 
 #: Words of a shingle, and the percentage of shared shingles from which documents are linked.
@@ -40,6 +40,8 @@ SLACK = 5.0
 BLOCK_BYTES, BLOCK_ROWS = 8 << 20, 512
 #: Bytes of text, and rows, that are signed or confirmed at a time.
 PART_BYTES, PART_ROWS = 4 << 20, 4096
+#: Narrow rows that a class, with its bands and bits, is worth.
+CLASS_ROWS = 8
 #: Row keys, or buckets, that are broadcast; more are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
 
@@ -124,17 +126,17 @@ def _listed(values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * k), pa.array(values.astype(np.uint64).reshape(-1).view(np.int64)))
 
 
-def _texts(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """(cls, text) of the classes in keys (cls, row), read from rows (row, text)."""
-    keys = checkpointed(keys)
+def _texts(rows: DataFrame, keys: DataFrame, most: int) -> DataFrame:
+    """(cls, text) of the classes in keys (cls, row), found among so many at most, read from rows (row, text)."""
+    keys = checkpointed(narrow(keys, most))
     few = keys.count() <= BROADCAST_KEYS
     found = rows.join(F.broadcast(keys) if few else keys, "row")
     return found.groupBy("cls").agg(F.first("text").alias("text")) if not few else found.dropDuplicates(["cls"]).select("cls", "text")
 
 
-def _small(keys: DataFrame) -> DataFrame:
-    """keys, worked out once and broadcast if they are few."""
-    keys = checkpointed(keys)
+def _small(keys: DataFrame, most: int) -> DataFrame:
+    """keys, worked out once from so many rows at most and broadcast if they are few."""
+    keys = checkpointed(narrow(keys, most))
     return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
 
 
@@ -169,18 +171,20 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     first = F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("row").alias("row"))
     # one row for each distinct set
     least = signed.where("n > 0").groupBy("cls").agg(F.min("id").alias("id"), F.min(first).alias("first"), F.min("row").alias("row"), F.max("n").alias("n"), F.max("bytes").alias("bytes"), F.first("bands").alias("bands"), F.first("low").alias("low"))
-    classes = checkpointed(least)
+    classes = checkpointed(narrow(least, CLASS_ROWS * signed.count()))
+    n_classes = classes.count()
     buckets = classes.select("cls", F.posexplode("bands").alias("band", "key"))
     shared = buckets.groupBy("key").agg(F.min("cls").alias("leader"), F.count("*").alias("m")).where("m > 1")
-    members = checkpointed(buckets.join(shared, "key"))
+    members = checkpointed(narrow(buckets.join(shared, "key"), BANDS * n_classes))
+    n_members = members.count()
     low = classes.select("cls", "n", "low")
     pairs = members.where("cls <> leader").select("cls", "leader").distinct()
     pairs = pairs.join(low, "cls").join(low.select(F.col("cls").alias("leader"), F.col("n").alias("n2"), F.col("low").alias("low2")), "leader")
     near = (F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent) & (_mismatches("low", "low2") <= most)
-    pairs = checkpointed(pairs.where(near).select("cls", "leader"))
+    pairs = checkpointed(narrow(pairs.where(near).select("cls", "leader"), n_members + n_classes))
     row_of = classes.select("cls", "row")
     wanted = pairs.select("cls").union(pairs.select("leader")).distinct()
-    texts = _texts(rows, wanted.join(row_of, "cls"))
+    texts = _texts(rows, wanted.join(row_of, "cls"), n_classes)
     both = pairs.join(texts, "cls").join(texts.select(F.col("cls").alias("leader"), F.col("text").alias("text2")), "leader")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,16 +194,19 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 good = np.array([_linked(a[abound[k] : abound[k + 1]], b[bbound[k] : bbound[k + 1]], percent) for k in range(part.num_rows)], bool)
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(good)), part.column(1).filter(pa.array(good))], names=["a", "b"])
 
-    links = checkpointed(both.select("cls", "leader", "text", "text2").mapInArrow(confirm, "a long, b long"))
+    links = checkpointed(gathered(both.select("cls", "leader", "text", "text2").mapInArrow(confirm, "a long, b long"), pairs.count()))
     groups = components(links)
     # buckets that still hold several components, and more than the one pair that has been compared
     labelled = members.where("m > 2").join(groups.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     split = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    left = checkpointed(labelled.join(_small(split), "key").select("key", "band", "cls", "component").join(classes.select("cls", "bytes"), "cls"))
+    found = labelled.join(_small(split, n_members), "key").select("key", "band", "cls", "component")
+    left = checkpointed(narrow(found.join(classes.select("cls", "bytes"), "cls"), n_members + n_classes))
     # sizes come from narrow rows, so that no exchange by bucket carries texts; most buckets are one block
     size = left.groupBy("key").agg(F.ceil(F.greatest(F.sum("bytes") / F.lit(float(BLOCK_BYTES)), F.count("*") / F.lit(float(BLOCK_ROWS)))).cast("int").alias("blocks")).where("blocks > 1")
-    held = left.drop("bytes").join(_small(size), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    texts = _texts(rows, left.select("cls").distinct().join(row_of, "cls"))
+    size = _small(size, n_members)
+    n_tasked = n_members + int(size.join(left.groupBy("key").count(), "key").agg(F.sum(F.col("blocks") * F.col("count")).alias("n")).first()["n"] or 0)
+    held = left.drop("bytes").join(size, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    texts = _texts(rows, left.select("cls").distinct().join(row_of, "cls"), n_classes)
     # of a bucket's components, the largest needs no comparison within itself
     held = held.join(texts, "cls").join(classes.select("cls", "n", "low", "bands"), "cls").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     # a task for each pair of blocks, the pair of a block with itself included; one column
@@ -217,7 +224,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         )
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    more = checkpointed(tasks.groupBy("task").applyInArrow(compare, "a long, b long"))
+    # a task returns fewer links than it has rows
+    more = checkpointed(gathered(tasks.groupBy("task").applyInArrow(compare, "a long, b long"), n_tasked))
     if not more.isEmpty():
         groups = components(links.union(more))
     named = classes.select("cls", "id", "first").join(groups.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))

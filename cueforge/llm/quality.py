@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cueforge.llm.common import checkpointed
+from cueforge.llm.common import NARROW_ROWS, checkpointed, narrow, text_bytes
 
 #: A document of fewer words, or with more than this percentage of repeated words, fails.
 LEAST_WORDS, MOST_REPEATED = 10, 20
@@ -33,6 +33,8 @@ LINE_TEXTS, LINE_PERCENT = 20, 1
 #: A document that loses more than this percentage of its words, or falls under LEAST_WORDS, is depleted.
 MOST_LOST = 60
 SALTS = 16
+#: Bytes of text whose lines are one part of a checkpoint.
+PART_BYTES = 4 << 20
 #: Boilerplate lines, and texts that hold them, that are broadcast; more are joined by a shuffle.
 BROADCAST_LINES, BROADCAST_TEXTS = 100_000, 200_000
 
@@ -109,21 +111,22 @@ def _found(texts: DataFrame, often: DataFrame) -> DataFrame:
     return lines.withColumn("salt", F.pmod("_row", F.lit(SALTS)).cast("int")).join(salted, ["host", "line", "salt"])
 
 
-def boilerplate(texts: DataFrame) -> DataFrame:
-    """(host, line) of the lines above both limits; texts: host, _row (a hash of host and text), words, lines, each text of a host once."""
+def boilerplate(texts: DataFrame, most: int) -> DataFrame:
+    """(host, line) of the lines above both limits; texts: host, _row (a hash of host and text), words, lines, each text of a host once; most: the lines of all."""
     short = F.exists("lines", lambda x: x.getField("n") <= LINE_WORDS)
     # short lines are held against the texts that have any
-    hosts = checkpointed(texts.groupBy("host").agg(F.count("*").alias("texts"), F.count(F.when(short, 1)).alias("short_texts")))
+    hosts = checkpointed(narrow(texts.groupBy("host").agg(F.count("*").alias("texts"), F.count(F.when(short, 1)).alias("short_texts")), most))
     lines = texts.select("host", F.explode(F.array_distinct("lines")).alias("x")).select("host", "x.line", "x.n")
     often = lines.groupBy("host", "line").agg(F.count("*").alias("found"), F.first("n").alias("n")).where(F.col("found") > LINE_TEXTS).join(hosts, "host")
-    often = checkpointed(often.where(F.col("found") * 100 > F.when(F.col("n") <= LINE_WORDS, F.col("short_texts")).otherwise(F.col("texts")) * LINE_PERCENT).select("host", "line", F.col("n").alias("size")))
+    often = often.where(F.col("found") * 100 > F.when(F.col("n") <= LINE_WORDS, F.col("short_texts")).otherwise(F.col("texts")) * LINE_PERCENT)
+    often = checkpointed(narrow(often.select("host", "line", F.col("n").alias("size")), most))
     sure, long = often.where(F.col("size") <= LINE_WORDS).select("host", "line"), often.where(F.col("size") > LINE_WORDS)
     if long.isEmpty():
         return sure
     held = _found(texts, often).groupBy("host", "_row").agg(F.first("words").alias("words"), F.sum("n").alias("lost"), F.collect_set(F.when(F.col("size") > LINE_WORDS, F.col("line"))).alias("long"))
     held = held.select("host", _depleted(F.col("words"), F.col("lost")).cast("int").alias("copy"), F.explode("long").alias("line"))
     groups = held.groupBy("host", "line").agg((F.sum(1 - F.col("copy")) + F.max("copy")).alias("found")).where(F.col("found") > LINE_TEXTS).join(hosts, "host")
-    return checkpointed(sure.union(groups.where(F.col("found") * 100 > F.col("texts") * LINE_PERCENT).select("host", "line")))
+    return checkpointed(narrow(sure.union(groups.where(F.col("found") * 100 > F.col("texts") * LINE_PERCENT).select("host", "line")), most))
 
 
 def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", keep: tuple[str, ...] = (), cleaned_col: str | None = None) -> DataFrame:
@@ -145,11 +148,13 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = df.select(row.alias("_row"), host.alias("host"), _lines(text).alias("lines")).where(F.size("lines") > 0)
     # equal texts of a host get equal answers, so each is asked once
     texts = docs.groupBy("_row").agg(F.first("host").alias("host"), F.first("lines").alias("lines"))
-    texts = checkpointed(texts.withColumn("words", F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x.getField("n"))))
-    lost = _found(texts, boilerplate(texts)).groupBy("_row").agg(F.sum("n").alias("n_lost_words"), *([F.collect_set("line").alias("_gone")] if cleaned_col else []))
+    texts = texts.withColumn("words", F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x.getField("n")))
+    texts = checkpointed(narrow(texts, text_bytes(df, text_col) * NARROW_ROWS // PART_BYTES))
+    most = int(texts.agg(F.sum(F.size("lines")).alias("n")).first()["n"] or 0)
+    lost = _found(texts, boilerplate(texts, most)).groupBy("_row").agg(F.sum("n").alias("n_lost_words"), *([F.collect_set("line").alias("_gone")] if cleaned_col else []))
     if cleaned_col:
         # texts are not to be shuffled for the few that lose lines
-        lost = checkpointed(lost)
+        lost = checkpointed(narrow(lost, most))
         lost = F.broadcast(lost) if lost.count() <= BROADCAST_TEXTS else lost
 
     # the words are bound once, so that a filter on what is kept, pushed below, does not split the text again for each of its windows

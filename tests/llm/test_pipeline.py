@@ -80,3 +80,29 @@ def test_quality_stage_removes_boilerplate_lines(spark):
     rows = [(k, f"All rights reserved\n{t}", "en", "s", 1) for k, t in own.items()] + [(50, own[2], "en", "s", 7)]
     got = corpus_pipeline.quality(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), SMALL)
     assert got.columns == COLUMNS and {r.doc_id: (r.text, r.n_chars) for r in got.collect()} == {k: (t, len(t)) for k, t in own.items()} | {50: (own[2], 7)}
+
+
+def test_checkpoints_are_few_files_whatever_the_shuffle(spark, tmp_path):
+    near = [(k, good(k // 4) + f" more{k}", "en", f"s{k % 2}", 1) for k in range(60)]
+    docs = spark.createDataFrame([(k, f"All rights reserved\n{text}", *rest) for k, text, *rest in near], "doc_id long, text string, lang string, source string, n_chars long")
+    parts = 30
+    own = {"spark.sql.shuffle.partitions": str(parts), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in own}
+    folder = spark.sparkContext._jsc.sc().getCheckpointDir
+    before = folder().get() if folder().isDefined() else None
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        files = {}
+        for name, stage in corpus_pipeline.STAGES[:2]:
+            spark.sparkContext.setCheckpointDir(str(tmp_path / name))
+            docs = spark.createDataFrame(stage(spark, docs, SMALL).collect(), docs.schema).coalesce(4)
+            files[name] = len(list((tmp_path / name).rglob("part-*")))
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+        if before:
+            spark.sparkContext.setCheckpointDir(before)
+    assert {r.doc_id for r in docs.collect()} == {4 * k for k in range(15)}
+    # only signatures are as many files as the documents' parts; all others are one here
+    assert files["quality rules"] < parts and files["near dedup"] < 2 * parts
